@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import keyed_texts, with_key
 
 #: Characters of a leaf of the text tree, and bytes of a leaf of the tree inside one piece.
 LEAF_CHARS = 4096
@@ -253,26 +253,24 @@ def _encoded(key: str, path: str, pattern: str):
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """``key, ids array<int>`` of each row's whole ``text``; null and empty texts give an
     empty array, repeated rows and null keys are kept, other columns are left out."""
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text_or_empty().alias("text")).mapInPandas(_encoded(key, path, pattern), f"{key} {kind}, ids array<int>")
+    return with_key(keyed_texts(df, key).mapInPandas(_encoded(key, path, pattern), f"`{key}` string, ids array<int>"), df, key)
 
 
 def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """``key, data binary`` of each row's ``ids``; a null array counts as empty."""
-    kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = coder(path, pattern)
         for pdf in batches:
             yield pd.DataFrame({key: pdf[key], "data": [bpe.decode([] if x is None else [int(i) for i in x]) for x in pdf["ids"]]})
 
-    return df.select(key, "ids").mapInPandas(run, f"{key} {kind}, data binary")
+    own = df.select(F.col(key).cast("string").alias(key), "ids")
+    return with_key(own.mapInPandas(run, f"`{key}` string, data binary"), df, key)
 
 
 def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """Encode and decode in one pass: ``key, n_tokens, ids_sha256, decoded_sha256``. The ids
     never leave the task, so nothing but the digests is written."""
-    kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = coder(path, pattern)
@@ -285,7 +283,7 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id") -> Data
             out.insert(0, key, pdf[key].array)
             yield out
 
-    return df.select(key, text_or_empty().alias("text")).mapInPandas(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_key(keyed_texts(df, key).mapInPandas(run, f"`{key}` string, n_tokens long, ids_sha256 string, decoded_sha256 string"), df, key)
 
 
 def op2_bpe_tree(spark, sf_dir: str) -> DataFrame:

@@ -35,3 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def keyed_texts(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key`` as a string, so that pandas never turns integers beside a null into floats, and ``text``, empty for null."""
+    return df.select(F.col(key).cast("string").alias(key), text_or_empty().alias("text"))
+
+
+def with_key(df: DataFrame, like: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``df`` with ``key`` cast back to its type in ``like``."""
+    return df.withColumn(key, F.col(key).cast(like.schema[key].dataType))

@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import keyed_texts
 
 #: Pieces that one group holds on average: the memory of a task, and with it the padding, follow from it.
-GROUP_PIECES = 16_384
+GROUP_PIECES = 8_192
 CACHE_WORDS = 300_000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class CapacityTree:
@@ -138,18 +138,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         coder, end = _codes(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for pdf in batches:
             rows = []
-            for key, own in zip(pdf["doc_id"].astype(object), coder.batches(list(pdf["text"]))):
+            for key, own in zip(pdf["doc_id"], coder.batches(list(pdf["text"]))):
                 ids = own + end
                 total, step = len(ids) // 4, 4 * capacity
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     rows.append((key, at // 4, len(part) // 4, zlib.crc32(part), total) + ((part,) if with_ids else ()))
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
-            out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    key = F.col("doc_id").cast("long").alias("doc_id")
-    return docs.select(key, text_or_empty().alias("text")).mapInPandas(run, PIECES + ", ids binary" * with_ids)
+    out = keyed_texts(docs).mapInPandas(run, PIECES + ", ids binary" * with_ids)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(items: DataFrame, n_groups: int, capacity: int = 2048) -> DataFrame:
@@ -160,7 +159,7 @@ def pack(items: DataFrame, n_groups: int, capacity: int = 2048) -> DataFrame:
     names = items.columns
     group = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id"), F.col("start"), F.col("ids_crc32")), F.lit(n_groups)).cast("int")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
         out = pdf[names].copy()
@@ -168,7 +167,8 @@ def pack(items: DataFrame, n_groups: int, capacity: int = 2048) -> DataFrame:
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", sequence_id long, offset long"
-    return items.withColumn("pack_group", group).groupBy("pack_group").applyInPandas(run, schema)
+    dealt = items.withColumn("pack_group", group).withColumn("doc_id", F.col("doc_id").cast("string"))  # no floats beside a null
+    return dealt.groupBy("pack_group").applyInPandas(run, schema.replace("`doc_id` bigint", "`doc_id` string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def group_count(docs: DataFrame, per_group: int = GROUP_PIECES) -> int:

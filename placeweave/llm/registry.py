@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, packing, telephony
+from . import bpe_tree, minhash, packing, telephony, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_bpe_tree": bpe_tree.op2_bpe_tree,
+        "op5_bbit_minhash": minhash.op5_bbit_minhash,
         "op6_ffd_packing": packing.op6_ffd_packing,
         "op8_telephony": telephony.op8_telephony,
+        "op9_subword_toxicity": toxicity.op9_subword_toxicity,
     }
 
 

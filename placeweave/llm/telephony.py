@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import text_or_empty
+from .common import keyed_texts, with_key
 
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
 #: Payload unit of the query, in bytes; also the size of an ADPCM block.
@@ -164,7 +164,6 @@ def store_texts(docs: DataFrame) -> DataFrame:
     the samples by the mu-law and A-law tables, and the same bytes as ADPCM blocks of 576. Returns digests
     and ``feature`` (peak, mean square and sign changes of each). Null and empty texts are one unit of padding;
     repeated rows stay; equal texts give equal values whatever rows surround them."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -185,8 +184,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
                     "feature": ["|".join(map(features, x)) for x in zip(*heard)],
                 })
 
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, schema)
+    schema = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return with_key(keyed_texts(docs).mapInPandas(run, schema), docs)
 
 
 def op8_telephony(spark, sf_dir: str) -> DataFrame:
