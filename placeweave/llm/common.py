@@ -45,3 +45,15 @@ def keyed_texts(df: DataFrame, key: str = "doc_id") -> DataFrame:
 def with_key(df: DataFrame, like: DataFrame, key: str = "doc_id") -> DataFrame:
     """``df`` with ``key`` cast back to its type in ``like``."""
     return df.withColumn(key, F.col(key).cast(like.schema[key].dataType))
+
+
+#: Parts into which the rows of one key are dealt by a salted join.
+SALTS = 8
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner") -> DataFrame:
+    """Equi-join in which a hot key of ``left`` is dealt over SALTS parts by the column ``by``; the rows of
+    ``right`` (one for each key, not hot) are repeated for each part."""
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, minhash, packing, telephony, toxicity
+from . import bpe_tree, decision_list, line_templates, minhash, packing, pii, telephony, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_pii_surrogates": pii.op1_pii_surrogates,
         "op2_bpe_tree": bpe_tree.op2_bpe_tree,
         "op5_bbit_minhash": minhash.op5_bbit_minhash,
         "op6_ffd_packing": packing.op6_ffd_packing,
+        "op7_decision_list": decision_list.op7_decision_list,
         "op8_telephony": telephony.op8_telephony,
         "op9_subword_toxicity": toxicity.op9_subword_toxicity,
+        "op10_log_templates": line_templates.op10_log_templates,
     }
 
 
