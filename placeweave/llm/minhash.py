@@ -5,9 +5,10 @@ and the low bits of each minimum, packed into bit planes. Bands give candidates;
 similarity estimated from equal low bits, corrected for chance equality, drops those that
 are far below the threshold; the rest are confirmed on the full shingle sets.
 
-A bucket never lists all its pairs: its members are first compared with two pivots, and
-only where a bucket still spans several components are members of different components
-compared, block by block.
+A bucket never lists all its pairs: in a few rounds its members are compared with the one
+that shares most buckets (of a group of copies, the middle one) and with the heaviest
+outside its component. Only where a bucket then still spans several components are members
+of different components compared, block by block.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BANDS, ROWS = 32, 5
 BITS = 4
 #: Standard deviations that an estimate may lie below the threshold before a candidate is dropped.
 SLACK = 5.0
+#: Rounds in which the members of a bucket are compared with two of them, before what is left is compared in blocks.
+STAR_ROUNDS = 4
 #: Members of a block when a bucket's components are compared.
 BLOCK = 512
 _K = BANDS * ROWS
@@ -143,30 +146,57 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
 
 def _across(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs between different components of the buckets in ``sizes`` (key, n), compared in
-    blocks: ``rows`` has key, node, bits, component."""
+    blocks: ``rows`` has key, node, bits, bands, component. A pair comes from the first band it shares."""
     least = least_estimate(percent)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = rows.join(sizes, "key").withColumn("blocks", blocks)
     own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "bits", "component")
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "bits", "bands", "component")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, low, high = key
+        at, low, high = key
         pdf = pdf.drop_duplicates(["block", "node"])
         bits = np.array(pdf["bits"].tolist(), np.int64).view(np.uint64).reshape(len(pdf), BITS, _WORDS)
+        bands = np.array(pdf["bands"].tolist(), np.int64)
         comp, node, block = pdf["component"].to_numpy(), pdf["node"].to_numpy(), pdf["block"].to_numpy()
         out = []
         for i in np.flatnonzero(block == low).tolist():
             j = np.flatnonzero((block == high) & (comp != comp[i]) & ((node > node[i]) | (low != high)))
             apart = np.bitwise_count(np.bitwise_or.reduce(bits[j] ^ bits[i], axis=1)).sum(axis=1)
             j = j[estimate(1 - apart / _K) >= least]
+            j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == at]
             out.append(pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     return dealt.groupBy("key", "low", "high").applyInPandas(run, "a long, b long").distinct()
 
 
+def _placed(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    if found is None:
+        return members.withColumn("component", F.col("node"))
+    return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _split_buckets(placed: DataFrame) -> DataFrame:
+    """Buckets that span several components: their heaviest member (the one that shares most buckets)."""
+    heavy = F.max(F.struct("weight", "node", "component")).alias("top")
+    per = placed.groupBy("key").agg(heavy, F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("n").alias("n"))
+    return per.filter("c0 <> c1").select("key", "n", F.col("top.node").alias("top"), F.col("top.component").alias("top_component"))
+
+
+def _star_pairs(placed: DataFrame) -> DataFrame:
+    """In each bucket that spans several components, its heaviest member and the heaviest one outside
+    that member's component, each with all members of other components."""
+    split = _split_buckets(placed)
+    own = placed.join(split.drop("n"), "key")
+    second = own.filter("component <> top_component").groupBy("key").agg(F.max(F.struct("weight", "node", "component")).alias("next"))
+    own = own.join(second, "key")
+    pairs = own.filter("component <> top_component").select(F.col("top").alias("x"), "node")
+    pairs = pairs.union(own.filter("component <> next.component").select("next.node", "node"))
+    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -182,15 +212,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = written(classes.select("node", "proof", "n_docs", "one.*"), "classes")
 
     rows = classes.select(F.explode("bands").alias("key"), "node")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(rows.join(shared, "key"), "members")
-    stars = members.select(F.col("low").alias("a"), F.col("node").alias("b")).union(members.select("node", "high")).filter("a <> b")
-    links = written(_confirmed(stars, classes, docs, words, percent), "links")
-    found = components(links)
-
-    placed = members.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("n").alias("n")).filter("c0 <> c1 and n > 3").select("key", "n")
-    rest = _across(placed.select("key", "node", "component").join(classes.select("node", "bits"), "node"), split, percent)
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = written(members.join(weight, "node"), "members")
+
+    links, found = None, None
+    for _ in range(STAR_ROUNDS):
+        fresh = written(_confirmed(_star_pairs(_placed(members, found)), classes, docs, words, percent), "links")
+        if links is not None and not fresh.limit(1).count():
+            break
+        links = fresh if links is None else links.union(fresh)
+        found = components(links)
+    placed = _placed(members, found)
+    rest = _across(placed.select("key", "node", "component").join(classes.select("node", "bits", "bands"), "node"), _split_buckets(placed).filter("n > 2").select("key", "n"), percent)
     more = written(_confirmed(rest, classes, docs, words, percent), "links")
     if more.limit(1).count():
         found = components(links.union(more))
