@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, decision_list, html_extract, line_templates, minhash, packing, pii, telephony, toxicity
+from . import bpe_tree, decision_list, html_extract, line_templates, minhash, packing, pii, substring_windows, telephony, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_pii_surrogates": pii.op1_pii_surrogates,
         "op2_bpe_tree": bpe_tree.op2_bpe_tree,
+        "op3_compact_windows": substring_windows.op3_compact_windows,
         "op4_html_trees": html_extract.op4_html_trees,
         "op5_bbit_minhash": minhash.op5_bbit_minhash,
         "op6_ffd_packing": packing.op6_ffd_packing,
