@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "scalar")
+MODULES = ("text", "scalar", "match", "resolve", "aggregate")
 
 
 def load():
