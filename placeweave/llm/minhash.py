@@ -5,10 +5,11 @@ and the low bits of each minimum, packed into bit planes. Bands give candidates;
 similarity estimated from equal low bits, corrected for chance equality, drops those that
 are far below the threshold; the rest are confirmed on the full shingle sets.
 
-A bucket never lists all its pairs: in a few rounds its members are compared with the one
-that shares most buckets (of a group of copies, the middle one) and with the heaviest
-outside its component. Only where a bucket then still spans several components are members
-of different components compared, block by block.
+A bucket never lists all its pairs. Each document is first compared with the one that
+shares most buckets among those it meets (of a group of copies, the middle one). Where a
+bucket then still spans several components, packed signatures of members of different
+components are compared block by block: first the best pair of each two components is
+confirmed, in the end every pair between components that are still apart.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ BANDS, ROWS = 32, 5
 BITS = 4
 #: Standard deviations that an estimate may lie below the threshold before a candidate is dropped.
 SLACK = 5.0
-#: Rounds in which the members of a bucket are compared with two of them, before what is left is compared in blocks.
-STAR_ROUNDS = 4
+#: Rounds in which only the best pair of each two components of a block is confirmed, before all that is left.
+BEST_ROUNDS = 2
 #: Members of a block when a bucket's components are compared.
 BLOCK = 512
 _K = BANDS * ROWS
@@ -144,9 +145,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
     return both.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def _across(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _across(rows: DataFrame, sizes: DataFrame, percent: int, best: bool) -> DataFrame:
     """Candidate pairs between different components of the buckets in ``sizes`` (key, n), compared in
-    blocks: ``rows`` has key, node, bits, bands, component. A pair comes from the first band it shares."""
+    blocks: ``rows`` has key, node, bits, bands, component. A pair comes from the first band it shares. With
+    ``best``, only the pair of highest estimate for each two components of a block."""
     least = least_estimate(percent)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = rows.join(sizes, "key").withColumn("blocks", blocks)
@@ -164,10 +166,16 @@ def _across(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
         for i in np.flatnonzero(block == low).tolist():
             j = np.flatnonzero((block == high) & (comp != comp[i]) & ((node > node[i]) | (low != high)))
             apart = np.bitwise_count(np.bitwise_or.reduce(bits[j] ^ bits[i], axis=1)).sum(axis=1)
-            j = j[estimate(1 - apart / _K) >= least]
-            j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == at]
-            out.append(pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            near = estimate(1 - apart / _K) >= least
+            j, apart = j[near], apart[near]
+            first = bands[i][(bands[j] == bands[i]).argmax(axis=1)] == at
+            j, apart = j[first], apart[first]
+            pair = pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "c": np.minimum(comp[i], comp[j]), "d": np.maximum(comp[i], comp[j]), "apart": apart})
+            out.append(pair.sort_values(["apart", "a", "b"]).drop_duplicates(["c", "d"]) if best else pair)
+        if not out:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        pairs = pd.concat(out)
+        return (pairs.sort_values(["apart", "a", "b"]).drop_duplicates(["c", "d"]) if best else pairs)[["a", "b"]]
 
     return dealt.groupBy("key", "low", "high").applyInPandas(run, "a long, b long").distinct()
 
@@ -182,19 +190,15 @@ def _split_buckets(placed: DataFrame) -> DataFrame:
     """Buckets that span several components: their heaviest member (the one that shares most buckets)."""
     heavy = F.max(F.struct("weight", "node", "component")).alias("top")
     per = placed.groupBy("key").agg(heavy, F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("n").alias("n"))
-    return per.filter("c0 <> c1").select("key", "n", F.col("top.node").alias("top"), F.col("top.component").alias("top_component"))
+    return per.filter("c0 <> c1").select("key", "n", F.col("top.node").alias("top"), F.col("top.weight").alias("top_weight"), F.col("top.component").alias("top_component"))
 
 
 def _star_pairs(placed: DataFrame) -> DataFrame:
-    """In each bucket that spans several components, its heaviest member and the heaviest one outside
-    that member's component, each with all members of other components."""
-    split = _split_buckets(placed)
-    own = placed.join(split.drop("n"), "key")
-    second = own.filter("component <> top_component").groupBy("key").agg(F.max(F.struct("weight", "node", "component")).alias("next"))
-    own = own.join(second, "key")
-    pairs = own.filter("component <> top_component").select(F.col("top").alias("x"), "node")
-    pairs = pairs.union(own.filter("component <> next.component").select("next.node", "node"))
-    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    """Each member of a bucket that spans several components with one member of another: the heaviest of the
+    heaviest members of its buckets."""
+    own = placed.join(_split_buckets(placed).drop("n"), "key").filter("component <> top_component")
+    picked = own.groupBy("node").agg(F.max(F.struct("top_weight", "top")).alias("p"))
+    return picked.select(F.least("node", "p.top").alias("a"), F.greatest("node", "p.top").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -217,18 +221,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     members = written(members.join(weight, "node"), "members")
 
-    links, found = None, None
-    for _ in range(STAR_ROUNDS):
-        fresh = written(_confirmed(_star_pairs(_placed(members, found)), classes, docs, words, percent), "links")
-        if links is not None and not fresh.limit(1).count():
-            break
-        links = fresh if links is None else links.union(fresh)
-        found = components(links)
-    placed = _placed(members, found)
-    rest = _across(placed.select("key", "node", "component").join(classes.select("node", "bits", "bands"), "node"), _split_buckets(placed).filter("n > 2").select("key", "n"), percent)
-    more = written(_confirmed(rest, classes, docs, words, percent), "links")
-    if more.limit(1).count():
-        found = components(links.union(more))
+    links = written(_confirmed(_star_pairs(_placed(members, None)), classes, docs, words, percent), "links")
+    found = components(links)
+    for best in [True] * BEST_ROUNDS + [False]:
+        placed = _placed(members, found)
+        split = written(_split_buckets(placed).select("key", "n"), "split")
+        own = placed.join(split.drop("n"), "key", "left_semi").select("key", "node", "component").join(classes.select("node", "bits", "bands"), "node")
+        fresh = written(_confirmed(_across(own, split, percent, best), classes, docs, words, percent), "links")
+        if fresh.limit(1).count():
+            links = links.union(fresh)
+            found = components(links)
 
     reach = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = reach.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("n_docs").alias("n"))
