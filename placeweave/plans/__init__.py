@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "scalar", "match", "resolve", "aggregate")
+MODULES = ("text", "scalar", "match", "resolve", "aggregate", "geo")
 
 
 def load():
