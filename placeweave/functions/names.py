@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(names: pd.Series) -> pd.Series:
     """NFKC form without outer white space; Spark has no built-in for it."""
     return names.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).strip())

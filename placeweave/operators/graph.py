@@ -37,26 +37,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def closure(links: DataFrame, most: int = 40) -> DataFrame:
+def closure(links: DataFrame) -> DataFrame:
     """Ends of a functional map ``a -> b`` by pointer doubling: ``a, root``. Nodes on a cycle are left out; a
-    node that leads into a cycle ends where it enters it. A cycle's nodes are those still moving after as
-    many doublings as any acyclic chain could need."""
+    node that leads into a cycle ends where it enters it. What still moves after as many doublings as the
+    longest chain could need shows a cycle, whose nodes are then taken out."""
     step = kept(links.filter("a <> b").groupBy("a").agg(F.min("b").alias("b")), "step")
     now = step
-    for _ in range(most):
+    for _ in range(step.count().bit_length() + 1):
         nxt = now.select(F.col("a").alias("b"), F.col("b").alias("c"))
         new = kept(now.join(nxt, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")), "closure")
-        moving = new.filter("moved").select("a", "b")
-        if not moving.limit(1).count():
+        if not new.filter("moved").limit(1).count():
             return new.select("a", F.col("b").alias("root"))
-        back = moving.filter("a = b").select("a")
-        if back.limit(1).count():
-            cyclic = _on_cycle(step)
-            tails = step.join(cyclic.withColumnRenamed("a", "x"), F.col("a") == F.col("x"), "left_anti")
-            # a tail's last own link leads to the cycle node where it enters
-            return closure(tails, most)
         now = new.select("a", "b")
-    raise RuntimeError("chains longer than the bound")
+    return closure(step.join(_on_cycle(step), "a", "left_anti"))
 
 
 def _on_cycle(step: DataFrame) -> DataFrame:

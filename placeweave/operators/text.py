@@ -16,7 +16,7 @@ class CleanRules:
     banner: str = r"^(?:NOTICE|DISCLAIMER)[^\n]*\n\s*"
     address_line: str = r"\n[ \t]*[0-9]{1,3}(?:\.[0-9]{1,3}){3}[ \t]*\n"
     footer_mark: str = r"ns[0-9a-z]*da|And [0-9]+ More"
-    trailing_counts: str = r"(?:\n[ \t]*[0-9]{1,6}[ \t]*){1,2}$"
+    trailing_counts: str = r"(?:\n[ \t\n]*[0-9]{1,6}[ \t]*){1,2}$"
     inline: tuple[str, ...] = (r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"[A-Za-z0-9._]+@mail[0-9]+\.example\.com", r"token = \"[0-9a-f]{40}\"")
     names: tuple[str, ...] = field(default=("address", "mail", "secret"))
 

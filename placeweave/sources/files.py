@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -50,14 +50,14 @@ def first_json(text: str | None) -> str | None:
     for open_, close in ("[]", "{}"):
         start = text.find(open_)
         depth = 0
-        for k in range(start, len(text) if start >= 0 else 0):
+        for k in range(start, len(text)) if start >= 0 else ():
             depth += (text[k] == open_) - (text[k] == close)
             if depth == 0:
                 return text[start : k + 1]
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def extract_json(texts: pd.Series) -> pd.Series:
     return texts.map(first_json)
 
