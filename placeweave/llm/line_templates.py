@@ -23,16 +23,18 @@ ALIKE = 0.7
 #: A document with more of its characters than this in recurring lines is a copy of another, not a carrier of boilerplate.
 COPY_SHARE = 0.5
 WILD = "<*>"
+#: Leaves (one number each) that may be broadcast.
+BROADCAST_LEAVES = 500_000
 
 
 def masked(line: Column) -> Column:
     """A line without outer white space, with each token that holds a digit as a wildcard."""
-    plain = F.trim(F.translate(line, "\t\r\f\x0b", "    "))
+    plain = F.trim(line, F.lit(" \t\r\f\x0b"))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ 0-9]*[0-9][^ ]*", WILD)).otherwise(plain)
 
 
 def n_tokens(line: Column) -> Column:
-    return F.length(line) - F.length(F.translate(line, " ", "")) + 1
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def leaf(line: Column, depth: int) -> Column:
@@ -54,7 +56,12 @@ def _general(docs: DataFrame, lines: DataFrame, depth: int, least: int, alike: f
     """``h, template`` of the lines that follow their leaf's template."""
     leaves = _counts(lines, "leaf").filter(F.col("n_docs") >= least).select("leaf")
     varied = lines.select("leaf", "h").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").join(leaves, "leaf").select("leaf")
-    texts = salted_join(_lines(docs).withColumn("leaf", leaf(F.col("line"), depth)), varied, ["leaf"], F.col("key"))
+    varied = written(varied, "varied")
+    own = _lines(docs).withColumn("leaf", leaf(F.col("line"), depth))
+    if varied.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:  # else the lines are shuffled by leaf
+        texts = own.join(F.broadcast(varied), "leaf")
+    else:
+        texts = salted_join(own, varied, ["leaf"], F.col("key"))
     texts = texts.groupBy("leaf", F.xxhash64("line").alias("h")).agg(F.first("line").alias("line"), F.count("*").alias("n"))
     texts = written(texts.withColumn("tokens", F.split("line", " ", -1)).drop("line"), "leaves")
     votes = texts.select("leaf", "n", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
