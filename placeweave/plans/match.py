@@ -10,7 +10,7 @@ from .base import ANCHORS, PLACES, STORY, anchors, metres, places, query, read,
 
 NAMES = "(SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY p_name)"
 # a text table with dictionary words: an order line's part name with its status words
-NOTES = "(SELECT l_orderkey AS note_id, l_linenumber AS line, 'order of ' || p_name || ' by ' || l_returnflag || l_linestatus AS note FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 20 = 0)"
+NOTES = "(SELECT l_orderkey AS note_id, l_linenumber AS line, 'order of ' || p_name || ' by ' || l_returnflag || l_linestatus AS note FROM lineitem JOIN part ON p_partkey = l_partkey)"
 
 
 def names(spark, d):
@@ -18,7 +18,7 @@ def names(spark, d):
 
 
 def notes(spark, d):
-    x = read(spark, d, "lineitem").filter("l_orderkey % 20 = 0").join(read(spark, d, "part").select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
+    x = read(spark, d, "lineitem").join(read(spark, d, "part").select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
     return x.select(F.col("l_orderkey").alias("note_id"), F.col("l_linenumber").alias("line"), F.concat(F.lit("order of "), F.col("p_name"), F.lit(" by "), F.col("l_returnflag"), F.col("l_linestatus")).alias("note"))
 
 
@@ -39,12 +39,12 @@ def j3(spark, d):
     return s(o, "p").join(s(o.filter("o_orderstatus <> 'P'"), "q"), "c").filter("p <> q").select("c")
 
 
-@query("j4_priority_match", f"""WITH e AS (SELECT event_id, chapter, 'Customer#' || lpad(CAST(person * 3 AS VARCHAR), 9, '0') AS nm, person % 25 AS nat FROM {STORY} s), p AS (SELECT * FROM {PLACES} q WHERE place_id <= 400),
+@query("j4_priority_match", f"""WITH e AS (SELECT event_id, chapter, 'Customer#' || lpad(CAST(person * 3 AS VARCHAR), 9, '0') AS nm, person % 25 AS nat FROM {STORY} s), p AS (SELECT * FROM {PLACES} q),
  c AS (SELECT event_id, 1 AS tier, place_id FROM e JOIN p ON p.name = e.nm UNION ALL SELECT event_id, 2, min(place_id) FROM e JOIN p ON p.nation = e.nat AND p.seg = 'BUILDING' GROUP BY 1)
  SELECT event_id, tier, place_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY tier, place_id) AS rn FROM c) WHERE rn = 1""")
 def j4(spark, d):
     e = story(spark, d).select("event_id", F.concat(F.lit("Customer#"), F.lpad((F.col("person") * 3).cast("string"), 9, "0")).alias("name"), (F.col("person") % 25).alias("nation"))
-    p = places(spark, d).filter("place_id <= 400")
+    p = places(spark, d)
     exact = e.join(p.select("name", "place_id"), "name").select("event_id", "place_id")
     first = p.filter("seg = 'BUILDING'").groupBy("nation").agg(F.min("place_id").alias("place_id"))
     near = e.join(first, "nation").select("event_id", "place_id")
@@ -82,10 +82,10 @@ def j8(spark, d):
     return hits.groupBy("note_id", "line").agg(F.max_by("g", F.struct(F.length("g"), F.col("g"))).alias("place"))
 
 
-@query("j9_co_occurrence", f"WITH c AS (SELECT DISTINCT chapter, person FROM {STORY} s WHERE person < 40) SELECT a.person AS a, b.person AS b, count(*) AS shared FROM c a JOIN c b USING (chapter) WHERE a.person <> b.person GROUP BY 1, 2")
+@query("j9_co_occurrence", f"WITH c AS (SELECT DISTINCT chapter, k, person FROM {STORY} s) SELECT a.person AS a, b.person AS b, count(*) AS shared FROM c a JOIN c b USING (chapter, k) WHERE a.person <> b.person GROUP BY 1, 2")
 def j9(spark, d):
-    c = story(spark, d).filter("person < 40").select("chapter", "person").distinct()
-    return c.select("chapter", F.col("person").alias("a")).join(c.select("chapter", F.col("person").alias("b")), "chapter").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    c = story(spark, d).select("chapter", "k", "person").distinct()  # a scene: a day and an attribute
+    return c.withColumnRenamed("person", "a").join(c.withColumnRenamed("person", "b"), ["chapter", "k"]).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 @query("j10_containment_parent", f"WITH n AS (SELECT name FROM {NAMES} q), h AS (SELECT DISTINCT split_part(name, ' ', 1) AS parent FROM {NAMES} q) SELECT name, parent FROM n JOIN h ON contains(name, parent) AND length(parent) >= 3 QUALIFY row_number() OVER (PARTITION BY name ORDER BY length(parent) DESC, parent) = 1")
@@ -187,10 +187,10 @@ def j29(spark, d):
     return read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("member")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("zones"))
 
 
-@query("j30_reference_rewrite", "WITH m AS (SELECT c_custkey AS a, c_custkey - c_custkey % 10 + 1 AS b FROM customer WHERE c_mktsegment = 'BUILDING') SELECT o_orderpriority, list_sort(list(DISTINCT coalesce(m.b, o_custkey))) AS people FROM orders LEFT JOIN m ON a = o_custkey WHERE o_orderkey % 50 = 0 GROUP BY 1")
+@query("j30_reference_rewrite", "WITH m AS (SELECT c_custkey AS a, c_custkey - c_custkey % 10 + 1 AS b FROM customer WHERE c_mktsegment = 'BUILDING') SELECT o_orderpriority, list_sort(list(DISTINCT coalesce(m.b, o_custkey))) AS people FROM orders LEFT JOIN m ON a = o_custkey GROUP BY 1")
 def j30(spark, d):
     m = read(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") - F.col("c_custkey") % 10 + 1).alias("b"))
-    x = read(spark, d, "orders").filter("o_orderkey % 50 = 0").join(m, "o_custkey", "left")
+    x = read(spark, d, "orders").join(m, "o_custkey", "left")
     return x.groupBy("o_orderpriority").agg(F.array_sort(F.collect_set(F.coalesce("b", "o_custkey"))).alias("people"))
 
 
@@ -249,3 +249,13 @@ def u5(spark, d):
     lab = read(spark, d, "labels")
     new = lab.filter("quality = 0").select("doc_id")
     return new.withColumn("v", F.lit("new")).unionByName(lab.select("doc_id").join(new, "doc_id", "left_anti").withColumn("v", F.lit("old")))
+
+
+@query("j12_anchor_parents", f"WITH t AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS parent FROM part), c AS (SELECT note_id, line, 1 AS tier, parent FROM {NOTES} n JOIN t ON contains(note, 'of ' || parent) WHERE length(parent) >= 3 UNION ALL SELECT note_id, line, 2, parent FROM {NOTES} n JOIN t ON contains(note, parent) WHERE length(parent) >= 3) SELECT note_id, line, tier, parent FROM c QUALIFY row_number() OVER (PARTITION BY note_id, line ORDER BY tier, length(parent) DESC, parent) = 1")
+def j12(spark, d):
+    t = names(spark, d).select(F.substring_index("name", " ", 1).alias("parent")).distinct().filter(F.length("parent") >= 3)
+    own = notes(spark, d)
+    hits = mt.mentions(own, t, "note", "parent")
+    near = hits.filter(F.contains("note", F.concat(F.lit("of "), F.col("parent")))).select("note_id", "line", "parent")
+    x = mt.tiered([near, hits.select("note_id", "line", "parent")], ["note_id", "line"], [F.desc(F.length("parent")), F.col("parent")])
+    return x.select("note_id", "line", "tier", "parent")

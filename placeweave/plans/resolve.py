@@ -24,13 +24,15 @@ def e4(spark, d):
     return p.groupBy("slug").agg(F.max_by("p_name", F.length("p_name") * 100 - F.col("p_size")).alias("name"), F.array_sort(F.collect_set("p_size")).alias("chapters"), (F.count_if(F.col("p_size") > 25) > 0.5 * F.count("*")).alias("fictional"), F.round(F.avg("p_retailprice"), 2).alias("conf"))
 
 
-PAIRS = "(SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_orderkey % 97 = 5)"
+# people share an alias if they have a nation and a rounded balance, or a balance to five cents, in common
+PAIRS = "(SELECT c_custkey AS a, 10000000 + c_nationkey * 1000 + CAST(floor((c_acctbal + 1000) / 100) AS BIGINT) AS b FROM customer UNION SELECT c_custkey, 20000000 + CAST(floor((c_acctbal + 1000) * 20) AS BIGINT) FROM customer)"
 
 
 @query("e5_g1_alias_components", f"WITH RECURSIVE e AS (SELECT a, b FROM {PAIRS} p UNION SELECT b, a FROM {PAIRS} p), r(node, label) AS (SELECT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node) SELECT node, min(label) AS component FROM r GROUP BY node")
 def e5(spark, d):
-    x = read(spark, d, "lineitem").filter("l_orderkey % 97 = 5").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
-    return gr.components(x)
+    c, a = read(spark, d, "customer"), F.col("c_custkey").alias("a")
+    x = c.select(a, (10000000 + F.col("c_nationkey") * 1000 + F.floor((F.col("c_acctbal") + 1000) / 100)).alias("b"))
+    return gr.components(x.union(c.select(a, 20000000 + F.floor((F.col("c_acctbal") + 1000) * 20))))
 
 
 @query("e6_vague_names", "SELECT p_name, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part WHERE split_part(p_name, ' ', 1) IN ('new', 'old') GROUP BY 1")
@@ -96,9 +98,9 @@ def e10(spark, d):
     return p.join(s, "p_name").filter("p_partkey <> strongest and p_retailprice < 0.97 * top").select("p_partkey", "strongest", F.round(F.col("top") * 0.95, 4).alias("conf"))
 
 
-@query("e11_chapter_clusters", f"WITH m AS (SELECT nation AS chapter, place_id, lon, lat FROM {PLACES} p WHERE place_id % 20 = 7), d AS (SELECT a.chapter, max({sql_metres('a', 'b')}) AS spread FROM m a JOIN m b USING (chapter) GROUP BY 1) SELECT m.chapter, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, round(any_value(spread), 2) AS spread, round(greatest(0, 0.72 - 0.17 * any_value(spread) / 500), 4) AS conf FROM m JOIN d ON d.chapter = m.chapter GROUP BY m.chapter HAVING count(*) >= 2")
+@query("e11_chapter_clusters", f"WITH m AS (SELECT nation AS chapter, place_id, lon, lat FROM {PLACES} p), d AS (SELECT a.chapter, max({sql_metres('a', 'b')}) AS spread FROM m a JOIN m b USING (chapter) GROUP BY 1) SELECT m.chapter, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, round(any_value(spread), 2) AS spread, round(greatest(0, 0.72 - 0.17 * any_value(spread) / 500), 4) AS conf FROM m JOIN d ON d.chapter = m.chapter GROUP BY m.chapter HAVING count(*) >= 2")
 def e11(spark, d):
-    m = places(spark, d).filter("place_id % 20 = 7").select(F.col("nation").alias("chapter"), "lon", "lat")
+    m = places(spark, d).select(F.col("nation").alias("chapter"), "lon", "lat")
     pair = m.join(m.withColumnsRenamed({"lon": "lon2", "lat": "lat2"}), "chapter")
     spread = pair.groupBy("chapter").agg(F.max(metres(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).alias("spread"))
     c = m.groupBy("chapter").agg(F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"), F.count("*").alias("n")).filter("n >= 2")
@@ -149,9 +151,9 @@ def e20(spark, d):
     return x.select("place_id", F.when(F.col("lon_a").isNotNull(), "parent").when(F.col("lon_c").isNotNull(), "chapter").otherwise("default").alias("source"), F.round(F.coalesce("lon_a", "lon_c", F.lit(114.17)), 6).alias("lon"))
 
 
-@query("e21_largest_ball", f"WITH p AS (SELECT * FROM {PLACES} q WHERE place_id % 10 = 3), n AS (SELECT a.nation, a.place_id, count(*) AS n, avg(b.lon) AS lon FROM p a JOIN p b USING (nation) WHERE {sql_metres('a', 'b')} <= 20000 GROUP BY 1, 2) SELECT nation, place_id, n, round(lon, 6) AS lon FROM n WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY nation ORDER BY n DESC, place_id) = 1")
+@query("e21_largest_ball", f"WITH p AS (SELECT * FROM {PLACES} q), n AS (SELECT a.nation, a.place_id, count(*) AS n, avg(b.lon) AS lon FROM p a JOIN p b USING (nation) WHERE {sql_metres('a', 'b')} <= 20000 GROUP BY 1, 2) SELECT nation, place_id, n, round(lon, 6) AS lon FROM n WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY nation ORDER BY n DESC, place_id) = 1")
 def e21(spark, d):
-    p = places(spark, d).filter("place_id % 10 = 3").select("nation", "place_id", "lon", "lat")
+    p = places(spark, d).select("nation", "place_id", "lon", "lat")
     pair = p.join(p.select("nation", F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), "nation").filter(metres(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")) <= 20000)
     n = pair.groupBy("nation", "place_id").agg(F.count("*").alias("n"), F.round(F.avg("lon2"), 6).alias("lon")).filter("n >= 2")
     return mt.best(n, ["nation"], [F.desc("n"), F.col("place_id")])
@@ -189,22 +191,48 @@ def g3(spark, d):
     return gr.redirect(e, g2(spark, d))
 
 
-@query("g4_merge_groups", f"WITH g AS (SELECT k, list_sort(list(DISTINCT event_id)) AS ids, max(chapter) - min(chapter) AS span FROM {STORY} s WHERE k IS NOT NULL AND event_id % 40 = 1 GROUP BY k) SELECT DISTINCT ids, span FROM g WHERE len(ids) >= 2 AND span <= 20")
+@query("g4_merge_groups", f"WITH g AS (SELECT k, list_sort(list(DISTINCT event_id)) AS ids, max(chapter) - min(chapter) AS span FROM {STORY} s WHERE k IS NOT NULL GROUP BY k, title, person) SELECT DISTINCT ids, span FROM g WHERE len(ids) >= 2 AND span <= 20")
 def g4(spark, d):
-    s = story(spark, d).filter("k is not null and event_id % 40 = 1").groupBy("k").agg(F.array_sort(F.collect_set("event_id")).alias("ids"), (F.max("chapter") - F.min("chapter")).alias("span"))
+    s = story(spark, d).filter("k is not null").groupBy("k", "title", "person").agg(F.array_sort(F.collect_set("event_id")).alias("ids"), (F.max("chapter") - F.min("chapter")).alias("span"))
     return s.filter("size(ids) >= 2 and span <= 20").dropDuplicates(["ids"]).select("ids", "span")
 
 
-@query("g5_edge_checks", "WITH e AS (SELECT DISTINCT l_partkey % 300 AS a, l_suppkey AS b FROM lineitem WHERE l_orderkey % 30 = 1), n AS (SELECT s_suppkey AS id FROM supplier) SELECT e.a, e.b, CASE WHEN e.a = e.b THEN 'self' WHEN e.a NOT IN (SELECT id FROM n) THEN 'missing' WHEN r.a IS NOT NULL THEN 'cycle' WHEN e.a > e.b THEN 'order' ELSE 'ok' END AS verdict FROM e LEFT JOIN e r ON r.a = e.b AND r.b = e.a")
+@query("g5_edge_checks", "WITH e AS (SELECT DISTINCT l_partkey % 300 AS a, l_suppkey AS b FROM lineitem), n AS (SELECT s_suppkey AS id FROM supplier) SELECT e.a, e.b, CASE WHEN e.a = e.b THEN 'self' WHEN e.a NOT IN (SELECT id FROM n) THEN 'missing' WHEN r.a IS NOT NULL THEN 'cycle' WHEN e.a > e.b THEN 'order' ELSE 'ok' END AS verdict FROM e LEFT JOIN e r ON r.a = e.b AND r.b = e.a")
 def g5(spark, d):
-    e = read(spark, d, "lineitem").filter("l_orderkey % 30 = 1").select((F.col("l_partkey") % 300).alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    e = read(spark, d, "lineitem").select((F.col("l_partkey") % 300).alias("a"), F.col("l_suppkey").alias("b")).distinct()
     n = read(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.lit(1).alias("known"))
     x = e.join(n, "a", "left").join(e.select(F.col("a").alias("b"), F.col("b").alias("a"), F.lit(1).alias("back")), ["a", "b"], "left")
     return x.select("a", "b", F.when(F.col("a") == F.col("b"), "self").when(F.col("known").isNull(), "missing").when(F.col("back") == 1, "cycle").when(F.col("a") > F.col("b"), "order").otherwise("ok").alias("verdict"))
 
 
-@query("g6_open_ends", f"WITH e AS (SELECT a, b FROM {LINKS} q WHERE a % 2 = 1 UNION ALL SELECT b, a FROM {LINKS} q WHERE a % 2 = 1) SELECT a AS node FROM e GROUP BY a HAVING count(DISTINCT b) = 1")
+@query("g6_open_ends", f"WITH e AS (SELECT a, b FROM {LINKS} q UNION ALL SELECT b, a FROM {LINKS} q) SELECT a AS node FROM e GROUP BY a HAVING count(DISTINCT b) = 1")
 def g6(spark, d):
-    links = read(spark, d, "customer").filter("c_custkey >= 3 and c_custkey % 2 = 1").select(F.col("c_custkey").alias("a"), F.floor(F.col("c_custkey") / 3).alias("b"))
+    links = read(spark, d, "customer").filter("c_custkey >= 3").select(F.col("c_custkey").alias("a"), F.floor(F.col("c_custkey") / 3).alias("b"))
     both = links.union(links.select("b", "a"))
     return both.groupBy("a").agg(F.count_distinct("b").alias("n")).filter("n = 1").select(F.col("a").alias("node"))
+
+
+@query("e3_typed_overrides", "WITH a AS (SELECT p_partkey, CASE WHEN p_name LIKE 'old %' THEN 'aged ' || split_part(p_name, ' ', 2) ELSE p_name END AS name, p_brand FROM part WHERE p_name NOT LIKE '% bolt'), b AS (SELECT name, list_sort(list(DISTINCT p_brand)) AS aliases FROM a GROUP BY name) SELECT name, list_filter(aliases, lambda x: x <> 'Brand#12') AS aliases FROM b")
+def e3(spark, d):
+    """Ordered actions from typed tables: bulk remove, rename, then remove alias."""
+    gone = spark.createDataFrame([("bolt",)], "word string")
+    rename = spark.createDataFrame([("old", "aged")], "head string, new string")
+    strip = spark.createDataFrame([("Brand#12",)], "alias string")
+    p = read(spark, d, "part").select("p_name", "p_brand", F.substring_index("p_name", " ", 1).alias("head"), F.substring_index("p_name", " ", -1).alias("word"))
+    p = p.join(F.broadcast(gone), "word", "left_anti").join(F.broadcast(rename), "head", "left")
+    name = F.when(F.col("new").isNotNull(), F.concat_ws(" ", "new", "word")).otherwise(F.col("p_name"))
+    g = p.groupBy(name.alias("name")).agg(F.array_sort(F.collect_set("p_brand")).alias("aliases"))
+    cut = strip.agg(F.collect_set("alias").alias("cut"))
+    return g.join(F.broadcast(cut)).select("name", F.array_except("aliases", "cut").alias("aliases"))
+
+
+@query("e14_entity_variants", "WITH n AS (SELECT p_name AS a, list_sort(list(DISTINCT p_size)) AS ch FROM part GROUP BY 1) SELECT x.a, y.a AS b, CASE WHEN len(list_intersect(x.ch, y.ch)) = 0 THEN least(0.45, CASE WHEN length(x.a) = length(y.a) THEN 0.5 ELSE 0.6 END) WHEN length(x.a) = length(y.a) THEN 0.5 ELSE 0.6 END::DOUBLE AS conf FROM n x JOIN n y ON x.a < y.a AND levenshtein(x.a, y.a) = 1 WHERE NOT (x.a LIKE 'cold %' AND y.a LIKE 'hot %')")
+def e14(spark, d):
+    n = read(spark, d, "part").groupBy(F.col("p_name").alias("a")).agg(F.collect_set("p_size").alias("ch"))
+    cut = F.transform(F.sequence(F.lit(1), F.length("a")), lambda i: F.concat(F.col("a").substr(F.lit(1), i - 1), F.col("a").substr(i + 1, F.length("a"))))
+    k = n.select("a", "ch", F.explode(F.array_distinct(F.array_union(F.array("a"), cut))).alias("key"))
+    pairs = k.join(k.select(F.col("a").alias("b"), F.col("ch").alias("ch2"), "key"), "key").filter("a < b").dropDuplicates(["a", "b"]).filter(F.levenshtein("a", "b", 1) == 1)
+    contrast = spark.createDataFrame([("cold", "hot")], "x string, y string")
+    pairs = pairs.withColumn("x", F.substring_index("a", " ", 1)).withColumn("y", F.substring_index("b", " ", 1)).join(F.broadcast(contrast), ["x", "y"], "left_anti")
+    base = F.when(F.length("a") == F.length("b"), 0.5).otherwise(0.6)
+    return pairs.select("a", "b", F.when(F.size(F.array_intersect("ch", "ch2")) == 0, F.least(F.lit(0.45), base)).otherwise(base).alias("conf"))

@@ -166,9 +166,9 @@ def t19(spark, d):
     return per.agg(F.sum("n").alias("segments"), F.sum("chars").alias("total_chars"), F.count_if(F.col("n") > 1).alias("split_docs"))
 
 
-@query("t20_mention_excerpts", "WITH m AS (SELECT item_id, substr(text, 1, 30) AS needle FROM benchmark), h AS (SELECT m.item_id, doc_id, strpos(d.text, needle) AS pos, d.text, row_number() OVER (PARTITION BY m.item_id ORDER BY doc_id) AS rn FROM m JOIN documents d ON contains(d.text, needle)) SELECT item_id, doc_id, substr(text, CAST(greatest(1, pos - 80) AS BIGINT), 190) AS excerpt FROM h WHERE rn <= 3")
+@query("t20_mention_excerpts", "WITH m AS (SELECT item_id, text AS needle FROM benchmark), h AS (SELECT m.item_id, doc_id, strpos(d.text, needle) AS pos, d.text, row_number() OVER (PARTITION BY m.item_id ORDER BY doc_id) AS rn FROM m JOIN documents d ON contains(d.text, needle)) SELECT item_id, doc_id, substr(text, CAST(greatest(1, pos - 80) AS BIGINT), 190) AS excerpt FROM h WHERE rn <= 3")
 def t20(spark, d):
-    needle = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 30).alias("needle"))
+    needle = read(spark, d, "benchmark").select("item_id", F.col("text").alias("needle"))
     h = DOCS(spark, d).select("doc_id", "text").join(needle, F.contains("text", "needle"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))
     return h.withColumn("rn", rank).filter("rn <= 3").select("item_id", "doc_id", F.col("text").substr(F.greatest(F.lit(1), F.expr("locate(needle, text)") - 80), F.lit(190)).alias("excerpt"))
@@ -238,10 +238,10 @@ def p2(spark, d):
     return s.union(ranked.join(F.broadcast(room), F.col("rn") <= F.col("room")).select("doc_id"))
 
 
-@query("p3_review_packet", "SELECT lang, sha256(string_agg(CAST(doc_id AS VARCHAR) || '|' || substr(text, 1, 500) || '|' || right(text, 500), chr(10) ORDER BY doc_id)) AS packet FROM documents WHERE doc_id % 97 = 3 GROUP BY lang")
+@query("p3_review_packet", "SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || '|' || substr(text, 1, 500) || '|' || right(text, 500)) AS packet FROM documents")
 def p3(spark, d):
-    x = DOCS(spark, d).filter("doc_id % 97 = 3").select("lang", "doc_id", F.concat_ws("|", F.col("doc_id").cast("string"), F.substring("text", 1, 500), F.expr("right(text, 500)")).alias("b"))
-    return x.groupBy("lang").agg(F.sha2(F.expr("listagg(b, '\\n') within group (order by doc_id)"), 256).alias("packet"))
+    packet = F.concat_ws("|", F.col("doc_id").cast("string"), F.substring("text", 1, 500), F.expr("right(text, 500)"))
+    return DOCS(spark, d).select("doc_id", F.sha2(packet, 256).alias("packet"))
 
 
 @query("flagship_source_report", f"""WITH w AS (SELECT doc_id, lang, source, {WC} AS wc, text, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents), m AS (SELECT median(wc) AS med FROM w)

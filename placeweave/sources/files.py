@@ -81,3 +81,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``path, bytes, sha256`` of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def read_rings(spark: SparkSession, path: str) -> DataFrame:
+    """Outer rings of Polygon, MultiPolygon and GeometryCollection files: ``ring_id, points`` (lon, lat pairs)."""
+    pair = "array<array<double>>"
+    df = spark.read.text(path, wholetext=True)
+    kind = F.get_json_object("value", "$.type")
+    one = F.array(F.from_json(F.get_json_object("value", "$.coordinates"), f"array<{pair}>"))
+    many = F.from_json(F.get_json_object("value", "$.coordinates"), f"array<array<{pair}>>")
+    parts = F.from_json(F.get_json_object("value", "$.geometries"), f"array<struct<type:string, coordinates:array<{pair}>>>")
+    inner = F.transform(F.filter(parts, lambda g: g["type"] == "Polygon"), lambda g: g["coordinates"])
+    polygons = F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many).otherwise(inner)
+    return df.select(F.posexplode(F.transform(polygons, lambda p: p[0])).alias("ring_id", "points"))

@@ -103,3 +103,11 @@ def test_rerun_is_stable(spark, sf_dir):
 
     a, b = (sorted(map(tuple, flagship(spark, sf_dir).collect())) for _ in range(2))
     assert a == b
+
+
+def test_rings(spark, tmp_path):
+    ring = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]
+    for name, geo in {"a": {"type": "Polygon", "coordinates": [ring, ring]}, "b": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}, "c": {"type": "GeometryCollection", "geometries": [{"type": "Polygon", "coordinates": [ring]}]}}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(geo))
+        rows = files.read_rings(spark, str(tmp_path / f"{name}.json")).collect()
+        assert len(rows) == (2 if name == "b" else 1) and rows[0].points == ring
