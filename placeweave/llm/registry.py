@@ -20,5 +20,20 @@ def queries() -> dict:
     }
 
 
+#: Links by all pairs that share a shingle, components by a recursive walk.
+OP5_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x1 ON x1.doc_id = a JOIN n x2 ON x2.doc_id = b WHERE 100 * k >= 80 * (x1.n + x2.n - k)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, label) AS (SELECT a, a FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node),
+c AS (SELECT node, min(label) AS label FROM r GROUP BY node)
+SELECT doc_id, n AS n_shingles, coalesce(label, doc_id) AS component_id, doc_id = coalesce(label, doc_id) AS kept FROM n LEFT JOIN c ON node = doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where SQL can express an operator; the others are tested against brute force in tests/llm."""
+    return {"op5_bbit_minhash": OP5_SQL}
