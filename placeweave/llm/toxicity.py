@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -32,11 +33,29 @@ SAMPLE_PER_CLASS = 2000
 SAMPLE_CHARS = 8_000
 EPOCHS, RATE, KEEP = 70, 0.5, 0.8
 CACHE_WORDS = 400_000
+#: Letters of a token that counts as one word; letters of the parts of a longer one, and from one part to the next.
+LONGEST, PART, STEP = 64, 16, 8
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters_of(token: str) -> str:
-    return _NOT_LETTERS.sub("", token.lower())[:64]
+    return _NOT_LETTERS.sub("", token.lower())
+
+
+def tokens_of(text: str) -> list[str]:
+    """A text's tokens between white space. One of more than LONGEST letters is split at its marks and digits; what is
+    still longer, as in scripts without spaces, is dealt into overlapping parts. No letter is left out."""
+    own = text.split()
+    if max(map(len, own), default=0) <= LONGEST:
+        return own
+    out = []
+    for token in own:
+        if len(token) <= LONGEST or len(letters_of(token)) <= LONGEST:
+            out.append(token)
+            continue
+        for run in "".join(c if c.isalpha() or category(c)[0] == "M" else " " for c in token).split():
+            out += [run] if len(run) <= LONGEST else [run[k : k + PART] for k in range(0, len(run) - PART + STEP, STEP)]
+    return out
 
 
 def subwords(letters: str) -> list[str]:
@@ -94,7 +113,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     words, counts = [], []
     for text in texts:
         own = []
-        for token in text.split():
+        for token in tokens_of(text):
             if (k := known.get(token)) is None:
                 letters = letters_of(token)
                 k = known.get("<" + letters) if letters else -1
@@ -166,7 +185,7 @@ class Scorer:
         self.parts[token] = part
 
     def score(self, text: str) -> float:
-        tokens = text.split()
+        tokens = tokens_of(text)
         if len(self.parts) >= CACHE_WORDS:
             self.parts.clear()
             self.words.clear()

@@ -42,3 +42,16 @@ def test_score_edges(spark):
 def test_one_class_only():
     model = toxicity.train(["a b c"] * 3, np.zeros(3))
     assert toxicity.Scorer(model.table(), model.offset()).score("x") < 0.5
+
+
+def test_words_behind_64_letters_are_scored():
+    texts, y = fixture()
+    model = toxicity.train(texts, y)
+    scorer = toxicity.Scorer(model.table(), model.offset())
+    clean = ["thetion", "reing", "stion", "anly", "oned", "eres"] * 4
+    for mark in ("", ",", "_", "1"):
+        assert scorer.score(mark.join(clean)) < 0.5 < scorer.score(mark.join(clean + ["gruffelwort", "snarkbane"]))
+    for text in ("\u4e00\u4e8c\u4e09" * 50, "\u0e01\u0e34\u0e02" * 60, "x" * 65, "a,b" * 70):
+        got = toxicity.tokens_of(text)
+        assert all(0 < len(toxicity.letters_of(t)) <= 64 for t in got)
+        assert set(toxicity.letters_of("".join(got))) == set(toxicity.letters_of(text)) and len("".join(got)) >= len(toxicity.letters_of(text))
