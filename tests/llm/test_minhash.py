@@ -79,9 +79,35 @@ def test_estimate_is_close():
 def test_empty_table_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).count() == 0
-    df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None)], "doc_id long, text string")
-    got = minhash.near_duplicates(df).collect()
-    assert sorted((r.doc_id is None, r.component_id, r.kept) for r in got) == [(False, 3, True), (False, 3, True), (True, 3, True), (True, None, True)] or len(got) == 4
+    long = " ".join(f"w{k}" for k in range(60))
+    near = long.replace("w30", "other")
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None), (None, long), (9, long), (5, near), (None, "alone x y z u v")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    want = [(3, 3, True)] * 2 + [(5, 5, True), (9, 5, False)] + [(None, 3, True), (None, 5, True), (None, None, True), (None, None, True)]
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_group_around_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(90):  # copies with so many changes that about half of the pairs are links
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 16)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(df, words=2).collect())) == brute(rows, 2, 80)
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (3, 150, 900, 20000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 3, dtype=np.uint64)])) for s in sets]
+    i, j = np.triu_indices(len(sets), 1)
+    got = minhash._unlike([minhash._parity(s) for s in sets], i, j)
+    assert all(g <= len(np.setxor1d(sets[a], sets[b])) for g, a, b in zip(got, i, j))
 
 
 def test_components_of_path_and_star(spark):
