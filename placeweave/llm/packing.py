@@ -4,20 +4,24 @@ independently in randomised groups of documents."""
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts
+from .common import keyed_texts, text_or_empty
 
-#: Pieces that one group holds on average: the memory of a task, and with it the padding, follow from it.
+#: Pieces that one group holds on average at most: the memory of a task, and with it the padding, follow from it.
 GROUP_PIECES = 8_192
-CACHE_WORDS = 300_000
+#: Pieces whose ids a worker keeps.
+CACHE_PIECES = 600_000
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -58,69 +62,86 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
+def _gathered(flat: np.ndarray, stops: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``which`` of ``flat`` one after the other, and where each of them stops; ``stops`` are those of ``flat``."""
+    starts = np.concatenate([[0], stops])[which]
+    size = stops[which] - starts
+    ends = np.cumsum(size)
+    return flat[np.repeat(starts - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _flat(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(codes), "<u4"), np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes))) // 4
+
+
 class WordCodes:
-    """Ids of whole texts as little-endian uint32 bytes. The tokenizer's own rules never join
-    anything across ASCII white space, so each distinct word is encoded once per worker."""
+    """Ids of whole texts. The tokenizer's own rules never join anything across ASCII white space, so each distinct
+    word of some texts is encoded once: one of plain Latin letters, digits and marks is the sequence of its pieces in
+    lower case, of which each new one goes to the tokenizer's model; any other is encoded by the tokenizer as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.mark,) = self._encode(MARK)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         self.pieces: dict[str, bytes] = {}
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Finds the codes of a batch's unknown words: a word of plain Latin letters, digits and marks is
-        the sequence of its pieces, other words are taken whole. Unknown ones are encoded in one call."""
-        unknown: dict[str, list[str]] = {}
-        for text in texts:
-            for word in set(text).difference(self.new):
-                if (got := self.old.get(word)) is not None:
-                    self.new[word] = got
-                elif word:
-                    self.new[word] = b""
-                    unknown[word] = _PIECES(word.lower()) if _LATIN(word) and "<|" not in word else [word]
-        if len(self.pieces) >= CACHE_WORDS:
+    def _pieces(self, names: list[str]) -> list[bytes]:
+        known, tokenize = self.pieces, self.model.tokenize
+        for name in set(names).difference(known):
+            known[name] = _packed([t.id for t in tokenize(name if name.isascii() else name.translate(_BYTES))])
+        return list(map(known.__getitem__, names))
+
+    def _word_codes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and where each word's stop."""
+        if len(self.pieces) >= CACHE_PIECES:
             self.pieces = {}
-        fresh = {p for own in unknown.values() for p in own if p not in self.pieces}
-        plain = [p for p in fresh if MARK not in p and "<|" not in p]
-        ids = np.asarray(self._encode("".join(f" {p} {MARK}" for p in plain)), "<u4")
-        stops = np.flatnonzero(ids == self.mark)
-        for piece, a, b in zip(plain, np.append(0, stops + 1).tolist(), stops.tolist()):
-            self.pieces[piece] = ids[a:b].tobytes()
-        for piece in fresh.difference(plain):
-            self.pieces[piece] = np.asarray(self._encode(piece), "<u4").tobytes()
-        for word, own in unknown.items():
-            self.new[word] = b"".join([self.pieces[p] for p in own])
-
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def batches(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text."""
-        for at in range(0, len(texts), 256):
-            part = [_words(t) for t in texts[at : at + 256]]
-            if len(self.new) >= CACHE_WORDS:
-                self.old, self.new = self.new, {}
-            self.learn(part)
-            self.new[""] = b""
-            for words in part:
-                yield b"".join(map(self.new.__getitem__, words))
-
-
-def _words(text: str) -> list[str]:
-    for c in "\t\n\r":
-        text = text.replace(c, " ")
-    return text.split(" ")
-
-
-#: Stands between words that are encoded in one call; words that hold it, or a special token, go alone.
-MARK = "\x01"
-_LATIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-#: The tokenizer's own piece pattern, for such words in lower case.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+        self.pieces["\n"] = b""
+        latin = pc.and_(pc.match_substring_regex(words, _LATIN), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
+        found = _PIECES("\n".join(words.filter(pa.array(latin)).to_pylist()).lower())
+        pieces = pa.array(found, pa.string()).dictionary_encode()
+        names = pieces.dictionary.to_pylist()
+        which = pieces.indices.to_numpy()
+        ids, stops = _gathered(*_flat(self._pieces(names)), which)
+        ends = np.flatnonzero(which == names.index("\n")) if "\n" in names else np.zeros(0, np.int64)
+        own = np.append(stops[ends], len(ids))[: latin.sum()]  # where each Latin word stops
+        if latin.all():
+            return ids, own
+        other, other_stops = _flat([_packed(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in words.filter(pa.array(~latin)).to_pylist()])
+        place = np.empty(len(words), np.int64)
+        place[latin], place[~latin] = np.arange(latin.sum()), latin.sum() + np.arange((~latin).sum())
+        return _gathered(np.concatenate([ids, other]), np.concatenate([own, len(ids) + other_stops]), place)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's stop."""
+        own = pc.ascii_split_whitespace(texts)
+        first = own.offsets.to_numpy()
+        words = own.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+        ids, stops = _gathered(*self._word_codes(words.dictionary), words.indices.to_numpy())
+        return ids, np.concatenate([[0], stops])[first[1:] - first[0]]
+
+
+#: Words of which the pieces are known; texts of so many bytes are encoded together.
+_LATIN = r"^[\x21-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]*$"
+_TOGETHER = 8_000_000
+#: The tokenizer's own piece pattern, for such words in lower case; a line feed stands between words.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|\n|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+").findall
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letters beyond ASCII as the byte-level models write their UTF-8 bytes: a byte that is a printable Latin-1
+    character stands for itself, the others are numbered from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    sign = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+
+
+_BYTES = _byte_letters()
 
 
 @lru_cache(maxsize=2)
@@ -134,30 +155,41 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     uint32). A null or empty text is the single end id. Cuts depend on the text alone, so the ids are
     made once and need not be shuffled."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, end = _codes(tokenizer), np.asarray([end_id], "<u4").tobytes()
-        for pdf in batches:
-            rows = []
-            for key, own in zip(pdf["doc_id"], coder.batches(list(pdf["text"]))):
-                ids = own + end
-                total, step = len(ids) // 4, 4 * capacity
-                for at in range(0, len(ids), step):
-                    part = ids[at : at + step]
-                    rows.append((key, at // 4, len(part) // 4, zlib.crc32(part), total) + ((part,) if with_ids else ()))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
-            yield out
-
-    out = keyed_texts(docs).mapInPandas(run, PIECES + ", ids binary" * with_ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _codes(tokenizer)
+        for batch in batches:
+            together = np.cumsum(pc.binary_length(batch["text"]).to_numpy()) // _TOGETHER
+            cuts = [0, *(np.flatnonzero(np.diff(together)) + 1).tolist(), len(batch)] if len(batch) else []
+            for a, b in zip(cuts, cuts[1:]):
+                yield _cut(batch["doc_id"].slice(a, b - a), *coder.encode(batch["text"].slice(a, b - a)), capacity, end_id, with_ids)
+
+    out = keyed_texts(docs).mapInArrow(run, PIECES + ", ids binary" * with_ids)
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _cut(keys: pa.Array, ids: np.ndarray, stops: np.ndarray, capacity: int, end_id: int, with_ids: bool) -> pa.RecordBatch:
+    """The pieces of some texts as rows; ``ids`` are those of all texts, without the closing ones."""
+    size = np.diff(stops, prepend=0) + 1
+    ids = np.insert(ids, stops, end_id).astype("<u4", copy=False)
+    stops = np.cumsum(size)
+    n = -(-size // capacity)
+    doc = np.repeat(np.arange(len(size)), n)
+    start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * capacity
+    length = np.minimum(capacity, size[doc] - start)
+    begin = (stops - size)[doc] + start
+    data = memoryview(ids.tobytes())
+    parts = [data[4 * a : 4 * b] for a, b in zip(begin.tolist(), (begin + length).tolist())]
+    columns = {"doc_id": keys.take(pa.array(doc)), "start": start, "length": length, "ids_crc32": [zlib.crc32(p) for p in parts], "doc_tokens": size[doc]}
+    return pa.RecordBatch.from_pydict(columns | ({"ids": [bytes(p) for p in parts]} if with_ids else {}))
+
+
 def pack(items: DataFrame, n_groups: int, capacity: int = 2048) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with ``doc_id, start, length`` (1 to
-    ``capacity``). Full pieces fill a sequence on their own; the others are dealt by a hash of the
-    document into ``n_groups`` groups, packed apart from each other. Repeated rows are separate items.
-    A sequence's id holds the group in its high bits. No rows give no rows."""
+    ``capacity``) and ``ids_crc32``. Rows are dealt by a hash into ``n_groups`` groups, packed apart from each
+    other; the row's place in its partition is part of the hash, so that rows that are equal in everything are
+    spread too. Repeated rows are separate items. A sequence's id holds the group in its high bits. No rows give no rows."""
     names = items.columns
-    group = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id"), F.col("start"), F.col("ids_crc32")), F.lit(n_groups)).cast("int")
+    group = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id"), F.col("start"), F.col("ids_crc32"), F.monotonically_increasing_id()), F.lit(n_groups)).cast("int")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
@@ -171,14 +203,15 @@ def pack(items: DataFrame, n_groups: int, capacity: int = 2048) -> DataFrame:
     return dealt.groupBy("pack_group").applyInPandas(run, schema.replace("`doc_id` bigint", "`doc_id` string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def group_count(docs: DataFrame, per_group: int = GROUP_PIECES) -> int:
-    """Groups for a table of documents; a row count from the file footers is all it reads."""
-    return max(1, -(-docs.count() // per_group))
+def group_count(docs: DataFrame, capacity: int = 2048, per_group: int = GROUP_PIECES) -> int:
+    """Groups for a table of documents: a text has at most one id for each byte, and its end."""
+    most = docs.agg(F.sum(1 + F.floor((F.octet_length(text_or_empty()) + 1) / capacity))).first()[0] or 0
+    return max(1, -(-int(most) // per_group))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their places. See ``pieces`` and ``pack``."""
-    return pack(pieces(docs, tokenizer, capacity, with_ids=with_ids), group_count(docs), capacity)
+    return pack(pieces(docs, tokenizer, capacity, with_ids=with_ids), group_count(docs, capacity), capacity)
 
 
 def op6_ffd_packing(spark, sf_dir: str) -> DataFrame:
