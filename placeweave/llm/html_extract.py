@@ -38,7 +38,13 @@ RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
-_ATTR = re.compile(r"(class|id|role|itemprop|aria-label|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: One attribute after another: its name, and its value if it has one.
+_ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_READ = {"class", "id", "role", "itemprop", "aria-label"}
+#: Elements whose content is text up to their end tag even where the start tag ends in "/>".
+_NEVER_EMPTY = ("script", "style", "textarea", "title", "iframe", "noscript")
+#: Tag of a run of text that stands directly in the page, between its blocks.
+LOOSE = "#text"
 _CLOSES_P = BLOCKS - {"html", "body"}
 _SIBLING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "thead", "tbody", "tfoot"), "td": ("tr",), "th": ("tr",)}
 
@@ -54,7 +60,7 @@ BAD = {
     "share": "share social sharing follow like byline author meta date print".split(),
     "form": "form search login signin contact input".split(),
 }
-TAG_GROUPS = [("article", "main"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "search", "dialog"), ("p",), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "thead", "tbody", "tr", "td", "th"), ("blockquote", "pre"), ("figure", "figcaption"), ("section", "div"), ("body", "html")]
+TAG_GROUPS = [("article", "main"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "search", "dialog"), ("p", LOOSE), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "thead", "tbody", "tr", "td", "th"), ("blockquote", "pre"), ("figure", "figcaption"), ("section", "div"), ("body", "html")]
 _GROUP = {t: k for k, own in enumerate(TAG_GROUPS) for t in own}
 _WORDS = re.compile(r"[a-z]+")
 
@@ -75,25 +81,32 @@ class Node:
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes in page order, each after its parent (the first is the page), and text runs ``(node, text)``.
-    Inline elements are transparent, a line break is white space, unclosed elements end where HTML lets them."""
+    Inline elements are transparent, a line break is white space, unclosed elements end where HTML lets them. Text
+    that stands directly in the page is a node of its own from one block to the next."""
     nodes, runs, stack = [Node("body", -1, 0)], [], [0]
     buffer: list[str] = []
-    link = 0
+    link = linked = 0
 
     def flush() -> None:
-        if buffer:
-            text = " ".join(html_lib.unescape("".join(buffer)).split())
-            buffer.clear()
-            if text:
-                runs.append((stack[-1], text))
-                nodes[stack[-1]].chars += len(text)
-                nodes[stack[-1]].marks += text.count(".") + text.count(",") + text.count("!") + text.count("?")
+        nonlocal linked
+        text = " ".join(html_lib.unescape("".join(buffer)).split())
+        buffer.clear()
+        if text:
+            if len(stack) == 1:  # loose text is a block of its own
+                nodes[0].children.append(len(nodes))
+                nodes.append(Node(LOOSE, 0, 1))
+            own = len(nodes) - 1 if len(stack) == 1 else stack[-1]
+            runs.append((own, text))
+            nodes[own].chars += len(text)
+            nodes[own].links += linked
+            nodes[own].marks += text.count(".") + text.count(",") + text.count("!") + text.count("?")
+        linked = 0
 
     def text_at(start: int, end: int) -> None:
+        nonlocal linked
         if end > start:
             buffer.append(page[start:end])
-            if link:
-                nodes[stack[-1]].links += end - start
+            linked += (end - start) * link
 
     at = 0
     while (m := _TOKEN.search(page, at)) is not None:
@@ -106,7 +119,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in _RAW_END and not closing:
             if tag == "head":
                 continue
-            if not m[0].endswith("/>"):
+            if not m[0].endswith("/>") or tag in _NEVER_EMPTY:
                 stop = _RAW_END[tag].search(page, at)
                 at = stop.end() if stop else len(page)
             nodes[stack[-1]].inputs += tag in ("button", "select", "textarea")
@@ -136,11 +149,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     if own in _SIBLING[tag]:
                         break
             tokens, hidden = [], False
-            for name, value in _ATTR.findall(m[0]) if " " in m[0] or "\n" in m[0] else ():
+            for name, value in _ATTR.findall(m[0], found.end()):
                 name = name.lower()
                 if name == "hidden" or (name == "aria-hidden" and "true" in value) or (name == "style" and "none" in value and "display" in value):
                     hidden = True
-                elif name != "style":
+                elif name in _READ:
                     tokens += _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
             nodes.append(Node(tag, stack[-1], nodes[stack[-1]].depth + 1, tuple(tokens), hidden))
             nodes[stack[-1]].children.append(len(nodes) - 1)
@@ -179,10 +192,13 @@ def features(nodes: list[Node]) -> np.ndarray:
         above[k] = np.maximum(above[p], flags[p])
         hidden[k] = max(hidden[k], hidden[p])
     bad_tags = [len(BAD) + 1 + g for g in (1, 3, 4, 5)]
+    places = np.zeros(n, np.int64)
+    for x in nodes:
+        places[x.children] = np.arange(len(x.children))
     for k, x in enumerate(nodes):
         p = max(0, x.parent)
         kin = nodes[p].children or [k]
-        place = kin.index(k) if k in kin and len(kin) < 200 else 0
+        place = int(places[k])
         rest = max(1, len(kin) - 1)
         kin_chars = chars[p] - own[p] - chars[k]
         row = [
@@ -304,6 +320,13 @@ def layout(paragraphs: list[str], rng: random.Random) -> tuple[str, set[int]]:
     def links(n: int) -> None:
         element("ul", lambda: [element("li", lambda: out.append(f'<a href="#">{html_lib.escape(few(1, 4))}</a>')) for _ in range(n)])
 
+    def loose(text: str, content: bool = False) -> None:
+        """Text directly in the page; a block has to follow."""
+        count[0] += 1
+        if content:
+            good.add(count[0])
+        out.append(rng.choice(["", "<b>", "<span>"]) + html_lib.escape(text).replace(". ", rng.choice([". ", ".<br><br>", ".<br>"])))
+
     def prose(n: int) -> None:
         for _ in range(n):
             element("p", few(3, 60))
@@ -347,6 +370,13 @@ def layout(paragraphs: list[str], rng: random.Random) -> tuple[str, set[int]]:
         if rng.random() < 0.3:
             element("footer", few(3, 12))
 
+    def bare() -> None:
+        """An article whose text stands directly in the page."""
+        element("h1", few(3, 12), content=True)
+        for text in paragraphs:
+            loose(text, content=True)
+            rng.choice([lambda: element("h2", few(2, 7), content=True), lambda: element("p", few(5, 40), content=True), lambda: element("div", few(1, 6), named("advert"))])()
+
     def main() -> None:
         tag = rng.choice(["article", "main", "div", "div", "section"])
         token = rng.choice(GOOD)
@@ -355,11 +385,17 @@ def layout(paragraphs: list[str], rng: random.Random) -> tuple[str, set[int]]:
     top() if rng.random() < 0.85 else None
     for kind in rng.sample(["notice", "advert", "side"], rng.randint(0, 3)):
         aside(kind)
-    main() if rng.random() < 0.5 else element("div", lambda: (main(), aside("side") if rng.random() < 0.5 else None), rng.choice(["", 'id="wrapper"', 'class="container"']))
+    if rng.random() < 0.15:
+        bare()
+    else:
+        main() if rng.random() < 0.5 else element("div", lambda: (main(), aside("side") if rng.random() < 0.5 else None), rng.choice(["", 'id="wrapper"', 'class="container"']))
     for kind in rng.sample(["side", "advert", "share"], rng.randint(0, 2)):
         aside(kind)
     talk() if rng.random() < 0.5 else None
     form() if rng.random() < 0.4 else None
+    if rng.random() < 0.1:
+        loose(few(2, 8))
+        aside("share")
     if rng.random() < 0.85:
         plain = rng.random() < 0.5
         element("footer" if plain else "div", lambda: (out.append(html_lib.escape(few(3, 25))), links(rng.randint(0, 6))), "" if plain else named("foot"))
@@ -376,7 +412,8 @@ def train(pages: list[str], seed: int = 9) -> Boosted:
             rows.append(features(nodes)), labels.append(label)
             long = [t for k, t in runs if label[k] and nodes[k].tag == "p"] or long
         for _ in range(LAYOUTS if long else 0):
-            made, good = layout(rng.sample(long, min(len(long), rng.randint(1, 12))), rng)
+            size = rng.randint(1, 12) if rng.random() < 0.95 else rng.randint(200, 400)
+            made, good = layout(rng.sample(long, min(len(long), size)) if size <= 12 else rng.choices(long, k=size), rng)
             nodes, _ = parse(made)
             rows.append(features(nodes)), labels.append(np.isin(np.arange(len(nodes)), list(good)))
     if not rows:
@@ -392,7 +429,8 @@ def extract(pages: list[str], model: Boosted) -> list[str]:
     for nodes, runs in parsed:
         kept = decode(nodes, raw[at : at + len(nodes)])
         at += len(nodes)
-        out.append("\n\n".join(t for k, t in runs if kept[k] and (k or len(nodes) == 1)))
+        bare = all(x.tag == LOOSE for x in nodes[1:])
+        out.append("\n\n".join(t for k, t in runs if kept[k] or bare))
     return out
 
 
@@ -404,7 +442,8 @@ def training_pages(pages: DataFrame) -> list[str]:
 
 def main_text(pages: DataFrame, model: Boosted) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars``. A null or empty page, and one without an article, has an empty
-    text; a page without any block element is text as a whole. Repeated rows, nulls in other columns and an
+    text; a page without any block element is text as a whole, and text directly in the page between
+    blocks is judged like a block. Repeated rows, nulls in other columns and an
     empty table are kept as they are; columns named ``text`` or ``n_chars`` are replaced."""
     names = [c for c in pages.columns if c not in ("text", "n_chars")]
     sent = pages.sparkSession.sparkContext.broadcast(model)  # TREES small trees

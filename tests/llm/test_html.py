@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 
 from placeweave.llm import html_extract as hx
@@ -52,3 +53,28 @@ def test_table_edges(spark):
     rows = hx.main_text(df, model()).collect()
     assert [r.n_chars for r in rows if not r.html] == [0, 0] and len({r.text for r in rows if r.html}) == 1
     assert hx.main_text(df.limit(0), model()).count() == 0
+
+
+def test_loose_text_raw_elements_and_attributes():
+    nodes, runs = hx.parse('<h1>Title</h1>One.<br><br>Two <b>bold</b>.<script src="x"/>var a=1;</script><p data-x="hidden">Three</p>tail &amp; end')
+    assert [t for _, t in runs] == ["Title", "One. Two bold.", "Three", "tail & end"]
+    assert [nodes[k].tag for k, _ in runs] == ["h1", hx.LOOSE, "p", hx.LOOSE]
+    assert not any(x.hidden for x in nodes)
+    nodes, _ = hx.parse("<div>" + "<p>x</p>" * 500 + "</div>")
+    places = hx.features(nodes)[2:, 2]
+    assert (places == np.arange(500) / 500).all()
+
+
+def test_held_out_layouts(sf_dir):
+    pages = [r[0] for r in duckdb.sql(f"select html from '{sf_dir}/pages.parquet' where length(html) > 0 order by page_id").fetchall()]
+    half = len(pages) // 2
+    model = hx.train(pages[:half])
+    rng, right, total = random.Random(77), 0, 0
+    for page in pages[half:]:
+        long = [t for _, t in hx.parse(page)[1] if len(t) > 40]
+        for _ in range(2 if long else 0):
+            made, good = hx.layout(rng.sample(long, min(len(long), 6)), rng)
+            want = "\n\n".join(t for k, t in hx.parse(made)[1] if k in good)
+            right += hx.extract([made], model) == [want]
+            total += 1
+    assert total and right >= 0.9 * total
