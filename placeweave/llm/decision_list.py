@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import spare, text_or_empty
 
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -66,33 +66,34 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with the statistics BASE (long) and the shares RATIOS (double) of its whole ``text``. A null or
     empty text has none of anything; shares over nothing are 0. Columns of these names are replaced."""
     names = [c for c in docs.columns if c not in (*BASE, *RATIOS)]
-    frame = docs.select(*names).withColumn("_text", text_or_empty())
-    frame = frame.withColumn("_words", F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+", -1), ""))
-    frame = frame.withColumn("n_repeat_words", F.coalesce(repeat_words(F.col("_words")), F.lit(0)).cast("long"))
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.length(_without(x, WHITE)) > 0)
-    frame = frame.withColumn("_lines", lines)
-    size = F.length("_text")
+    own, all_words, all_lines = spare(names, "own", "all_words", "all_lines")
+    frame = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn(own, text_or_empty())
+    frame = frame.withColumn(all_words, F.array_remove(F.split(own, r"[\x20\x09-\x0D]+", -1), ""))
+    frame = frame.withColumn("n_repeat_words", F.coalesce(repeat_words(F.col(all_words)), F.lit(0)).cast("long"))
+    lines = F.filter(F.split(own, "\n", -1), lambda x: F.length(_without(x, WHITE)) > 0)
+    frame = frame.withColumn(all_lines, lines)
+    size = F.length(own)
     frame = (
-        frame.withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", F.length(_without(F.col("_text"), WHITE)).cast("long"))
-        .withColumn("n_symbols", (size - F.length(_without(F.col("_text"), SYMBOLS))).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+        frame.withColumn("n_words", F.size(all_words).cast("long"))
+        .withColumn("word_chars", F.length(_without(F.col(own), WHITE)).cast("long"))
+        .withColumn("n_symbols", (size - F.length(_without(F.col(own), SYMBOLS))).cast("long"))
+        .withColumn("n_dup_lines", (F.size(all_lines) - F.size(F.array_distinct(all_lines))).cast("long"))
     )
     chars, words = F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
-    count = lambda letters: size - F.length(_without(F.col("_text"), letters))
+    count = lambda letters: size - F.length(_without(F.col(own), letters))
     shares = {
         "symbol_share": F.col("n_symbols") / chars,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.size("_lines"), F.lit(1)),
+        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.size(all_lines), F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / words,
         "word_length": F.col("word_chars") / words,
         "capital_share": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars,
         "mark_share": count("!?") / chars,
         "digit_share": count("0123456789") / chars,
-        "distinct_share": F.size(F.array_distinct("_words")) / words,
+        "distinct_share": F.size(F.array_distinct(all_words)) / words,
     }
     for name, share in shares.items():
         frame = frame.withColumn(name, share)
-    return frame.drop("_text", "_words", "_lines")
+    return frame.drop(own, all_words, all_lines)
 
 
 def base_failed() -> Column:

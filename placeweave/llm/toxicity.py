@@ -18,7 +18,7 @@ from unicodedata import category
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -202,15 +202,17 @@ class Scorer:
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``text, toxic`` of at most SAMPLE_PER_CLASS labelled documents of each class, in the order of a
     hash of their id, leaving out held-out ids (crc32 of the id as text, mod 5 = 0), texts longer than
-    SAMPLE_CHARS, and null ids, texts and labels. Twice as many ids are looked up, to make up for long texts."""
+    SAMPLE_CHARS, and null ids, texts and labels. Twice as many ids are looked up, to make up for long texts; of
+    rows that share an id one text is taken."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = own.withColumn("rank", F.xxhash64(F.lit(3), "doc_id"))
     ids = [own.filter(F.col("toxic") == k).orderBy("rank", "doc_id").limit(2 * SAMPLE_PER_CLASS) for k in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= SAMPLE_CHARS)
     known = texts.join(F.broadcast(ids[0].union(ids[1])), "doc_id")  # 4 * SAMPLE_PER_CLASS ids at most
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy("rank", "doc_id", "text"))
-    return known.withColumn("place", place).filter(F.col("place") <= SAMPLE_PER_CLASS).select("text", "toxic")
+    known = known.groupBy("doc_id", "toxic", "rank").agg(F.min("text").alias("text"))
+    own = [known.filter(F.col("toxic") == k).orderBy("rank", "doc_id").limit(SAMPLE_PER_CLASS) for k in (0, 1)]
+    return own[0].union(own[1]).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> SubwordSoftmax:

@@ -1,9 +1,14 @@
+import random
 import re
 from collections import Counter
 
+import numpy as np
+import regex
+from pyspark.sql import functions as F
+
 from placeweave.llm import decision_list as dl
 from placeweave.llm import line_templates as lt
-from placeweave.llm import pii
+from placeweave.llm import pii, toxicity
 
 PII_ROWS = [
     (1, "Frau Müller met Mr. John Smith; г-жа Иванова. 王小明先生 call +44 20 7946 0958, card 4111 1111 1111 1111 and 4111-1111-1111-1111, 123-45-6789"),
@@ -42,12 +47,82 @@ def test_surrogates(spark):
 
 def test_surrogates_stay_distinct(spark):
     rows = [(k, f"call {k:03d}-{k % 90:02d}-{k:04d}, a{k % 7}@b.example.com") for k in range(100, 400)]
-    found = pii.mentions(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = pii.entity_parts(pii.mentions(spark.createDataFrame(rows, "doc_id long, text string")))
     made = pii.mapping(found, "k").collect()
     assert len({(r.kind, r.made) for r in made}) == len(made) == len({(r.kind, r.core) for r in made})
     assert not {(r.kind, r.made) for r in made} & {(r.kind, r.core) for r in made}
 
 
+def test_names_with_and_without_given_name(spark):
+    rows = [(1, "Mr. John Smith said so."), (2, "MR. SMITH said no; Mrs. Smith agrees."), (3, "Frau Anna Smith, and my name is John Weber.")]
+    got = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    given, family = re.fullmatch(r"Mr\. (\w+) (\w+) said so\.", got[1]).groups()
+    assert got[2] == f"MR. {family.upper()} said no; Mrs. {family} agrees." and given.endswith("n")
+    anna, john, weber = re.fullmatch(rf"Frau (\w+) {family}, and my name is (\w+) (\w+)\.", got[3]).groups()
+    assert anna.endswith("na") and john == given and weber not in ("Weber", family)
+
+
+def test_long_texts_and_full_surrogate_spaces(spark):
+    signs = "安白博晨德东凡方海和华嘉建江康林明宁平青瑞山思天文晓新雪雅永王李张刘陈杨赵黄周吴"
+    names = [a + b for a in signs for b in signs][:1200]
+    rows = [(1, "x@" + "ab." * 20_000 + "com"), (2, "a" * 1_000_000), (3, "1" * 200_000), (4, "a.b" * 100_000 + "@"), (5, "A" * 100_000)]
+    rows += [(10 + k, f"，{n}先生") for k, n in enumerate(names)]
+    got = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert len(got) == len(rows) and got[1] != rows[0][1] and all(got[k] == rows[k - 1][1] for k in (2, 3, 4, 5))
+    made = {got[10 + k] for k in range(len(names))}
+    assert len(made) == len(names) and not made & {t for _, t in rows}
+
+
+def test_surrogates_equal_a_plain_scan(spark, sf_dir):
+    """Against a scan in Python: the same spans change, nothing else does, and equal mentions change alike."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    entity = regex.compile(pii.ENTITY.replace("\\p{IsHan}", "\\p{Han}"))
+    made: dict[str, str] = {}
+    n = 0
+    for r in docs.join(pii.replace_entities(docs, "k").select("doc_id", F.col("text").alias("new"), "n_entities"), "doc_id").collect():
+        parts, found = entity.split(r.text or ""), entity.findall(r.text or "")
+        assert len(found) == r.n_entities
+        rest = r.new or ""
+        pattern = "(.+?)".join(map(re.escape, parts)) if found else re.escape(rest)
+        got = re.fullmatch(pattern, rest, re.S)
+        assert got is not None
+        for old, new in zip(found, got.groups()):
+            assert old != new and made.setdefault(old, new) == new
+            n += 1
+    assert n and len(set(made.values())) == len(made)
+
+
+def test_clashing_columns(spark):
+    extra = ["key", "gone", "rest", "id", "new", "pieces", "_text", "_words", "_lines", "template", "h", "kind"]
+    names = ["doc_id", "text", *extra, *[f"_{c}" for c in extra if not c.startswith("_")]]
+    df = spark.createDataFrame([(1, "Mr. Smith 10.0.0.1 a b c\nline", *["v"] * (len(names) - 2)), (None, None, *[None] * (len(names) - 2))], ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for out in (pii.replace_entities(df, "k"), lt.drop_templates(df), dl.judge(df, []), toxicity.score(df, toxicity.train([], np.zeros(0)))):
+        rows = sorted(out.collect(), key=lambda r: r.doc_id is None)
+        assert out.columns[: len(names)] == names and len(rows) == 2
+        assert all(rows[0][c] == "v" and rows[1][c] is None for c in names[2:])
+    for f in (lambda d: pii.replace_entities(d, "k"), lt.drop_templates, lambda d: dl.judge(d, [])):
+        assert f(df.limit(0)).count() == 0
+
+
+def test_lines_of_numbers_and_unspaced_scripts_stay(spark):
+    rows = [(k, f"{k}\t{k * 7}\t12.{k}\n第{k}章東京の天気は良い\n{1900 + k}\n3 {k} 5\n12.{k} EUR\n{chr(97 + k) * 9} {chr(98 + k) * 7} {chr(99 + k) * 8}") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.text == rows[r.doc_id][1].replace(f"第{r.doc_id}章東京の天気は良い\n", "") for r in lt.drop_templates(df, copy_share=0.9).collect())
+
+
+def test_two_templates_of_one_leaf(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for k in range(20):
+        one = f"posted in the news by {word()} under local affairs today"
+        two = f"posted in the shop for {word()} with free delivery now"
+        own = "\n".join(" ".join(word() for _ in range(12)) for _ in range(6))
+        rows.append((k, (one if k % 3 else two) + "\n" + own))
+    got = {r.doc_id: r.text for r in lt.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == t.split("\n", 1)[1] for k, t in rows)
+
+
 def test_line_templates(spark):
     rows = [(k, f"own line {k} alpha beta\n\nshared footer of the site here\npage {k} of 900 in all\nunique body {chr(97 + k % 26) * 5} w{k} closing words") for k in range(12)]
     rows = [(i, t + "\n" + " ".join(f"{chr(97 + (i * 7 + j) % 26)}{chr(97 + (i + j * j) % 26)}x" for j in range(40))) for i, t in rows]
