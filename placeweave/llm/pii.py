@@ -23,10 +23,12 @@ _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-
 _OPEN = ("Dr", "Prof")
 _TITLES = sorted({t for own in (_MALE, _FEMALE, _OPEN) for x in own for t in (x, x.upper())}, key=lambda t: (-len(t), t))
 _TITLE = rf"(?:{'|'.join(_TITLES)})\.? "
+_FIRST = "".join(sorted({t[0] for t in _TITLES}))
 #: Words before a name that its bearer says or fills in.
 _INTRO = ("my name is ", "My name is ", "Name: ", "mein Name ist ", "Mein Name ist ", "je m'appelle ", "Je m'appelle ", "me llamo ", "Me llamo ", "mi nombre es ", "Mi nombre es ", "меня зовут ", "Меня зовут ", "με λένε ", "Με λένε ")
 _CAP = r"\p{Lu}(?:[\p{Ll}'’-]++|\p{Lu}++(?![\p{Ll}]))"
-_NAME = rf"(?<![\p{{L}}]){_TITLE}{_CAP}(?: {_CAP})?(?!\p{{L}})|(?<={'|'.join(_INTRO)}){_CAP}(?: {_CAP})?(?!\p{{L}})"
+#: What a title begins with is looked at first, and whether a word begins; else each place of a text would try them all.
+_NAME = rf"(?=[{_FIRST}])(?<!\p{{L}}){_TITLE}{_CAP}(?: {_CAP})?(?!\p{{L}})|(?=\p{{Lu}})(?<= )(?<={'|'.join(_INTRO)}){_CAP}(?: {_CAP})?(?!\p{{L}})"
 _CJK_NAME = r"[一-鿿]{2,3}(?:先生|女士|小姐)"
 #: In this order: an earlier type wins where two match at one place. No group is repeated without bound, and runs
 #: without bound begin at their first character only, so that a long text takes linear time and no stack.
@@ -42,7 +44,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: No entity is found in a text without one of these.
-CUE = rf"[0-9@]|{'|'.join([*_TITLES, *_INTRO])}|先生|女士|小姐"
+CUE = rf"[0-9@]|(?=[{_FIRST}])(?<!\p{{L}}){_TITLE}|(?=[{''.join(sorted({t[0] for t in _INTRO}))}])(?<!\p{{L}})(?:{'|'.join(_INTRO)})|先生|女士|小姐"
 DIGIT_TYPES = ("ssn", "card", "phone")
 #: Syllables of made-up names by script; a given name's ending tells its gender.
 SYLLABLES = {

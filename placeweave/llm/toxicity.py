@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -90,10 +91,13 @@ def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[word_doc] + inside // WINDOW, np.repeat(np.arange(len(counts)), n)
 
 
-def _docs_per_gram(words: list[np.ndarray], bags: list[list[int]], n: int) -> np.ndarray:
-    found = np.zeros(n, np.int64)
-    for own in words:
-        found[list({b for k in set(own.tolist()) for b in bags[k]})] += 1
+def _docs_per_gram(words: list[np.ndarray], grams: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Texts in which each gram occurs; ``grams`` has the bags of all words one after the other."""
+    found, stops = np.zeros(n, np.int64), np.cumsum(sizes)
+    for own in map(np.unique, words):
+        size = sizes[own]
+        ends = np.cumsum(size)
+        found[np.unique(grams[np.repeat(stops[own] - ends, size) + np.arange(size.sum())])] += 1
     return found
 
 
@@ -109,7 +113,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
         return SubwordSoftmax([], np.zeros((0, DIM)), weights, bias)
     known: dict[str, int] = {}
     number: dict[str, int] = {}
-    bags: list[list[int]] = []
+    flat, sizes = array("i"), array("i")  # the grams of all words one after the other, and how many each has
     words, counts = [], []
     for text in texts:
         own = []
@@ -118,20 +122,25 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
                 letters = letters_of(token)
                 k = known.get("<" + letters) if letters else -1
                 if k is None:
-                    k = known["<" + letters] = len(bags)
-                    bags.append([number.setdefault(g, len(number)) for g in subwords(letters)])
+                    k = known["<" + letters] = len(sizes)
+                    bag = [number.setdefault(g, len(number)) for g in subwords(letters)]
+                    flat.extend(bag)
+                    sizes.append(len(bag))
                 known[token] = k
             if k >= 0:
                 own.append(k)
-        words.append(np.asarray(own, np.int64))
+        words.append(np.asarray(own, np.int32))
         counts.append(len(own))
+    del known
     word, counts = np.concatenate(words), np.asarray(counts)
     window, window_doc = _windows(counts)
     size = np.maximum(1, np.bincount(window, minlength=len(window_doc)))
-    bag_size = np.array([len(b) for b in bags], np.float32)
-    grams, gram_word = np.concatenate([np.asarray(b) for b in bags]), np.repeat(np.arange(len(bags)), bag_size.astype(np.int64))
-    common = _docs_per_gram(words, bags, len(number)) >= LEAST_DOCS
-    grams, gram_word = grams[common[grams]], gram_word[common[grams]]
+    grams, bag_size = np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int32)
+    common = _docs_per_gram(words, grams, bag_size.astype(np.int64), len(number)) >= LEAST_DOCS
+    names = {k: g for g, k in number.items() if common[k]}
+    del number, words
+    gram_word = np.repeat(np.arange(len(bag_size), dtype=np.int32), bag_size)[common[grams]]
+    grams, bag_size = grams[common[grams]], bag_size.astype(np.float32)
     used, slot = np.unique(grams, return_inverse=True)
     first_window = np.concatenate([[0], np.flatnonzero(np.diff(window_doc)) + 1])
     per_doc = np.bincount(window_doc)
@@ -147,7 +156,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     # so numbers alone pass through grams, words and windows.
     for t in range(1, epochs + 1):
         direction = weights[:, 1] - weights[:, 0]
-        part = np.bincount(gram_word, (v @ direction)[slot], len(bags)) / bag_size
+        part = np.bincount(gram_word, (v @ direction)[slot], len(bag_size)) / bag_size
         gap = np.bincount(window, part[word], len(window_doc)) / size + bias[1] - bias[0]
         if t <= epochs // 4:
             pooled = np.bincount(window_doc, gap) / per_doc
@@ -158,13 +167,12 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
             spread = worst / np.bincount(window_doc, worst)[window_doc]
         error = (1 / (1 + np.exp(-np.clip(pooled, -40, 40))) - toxic) * share
         g = error[window_doc] * spread
-        word_grad = np.bincount(word, (g / size)[window], len(bags)) / bag_size
+        word_grad = np.bincount(word, (g / size)[window], len(bag_size)) / bag_size
         pull = np.bincount(slot, word_grad[gram_word], len(used))
         w_grad = v.T @ pull
         step("w", weights, np.stack([-w_grad, w_grad], 1))
         step("b", bias, np.array([-g.sum(), g.sum()]))
         step("v", v, pull[:, None] * direction[None, :])
-    names = list(number)
     return SubwordSoftmax([names[k] for k in used.tolist()], v, weights, bias)
 
 

@@ -15,7 +15,7 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
         if name == "near_dedup":
             assert out.filter("doc_id = 1000003").count() == 0 and 0 < out.count() < docs.count()
         if name == "pii":
-            assert pii.mentions(out).join(pii.mentions(docs), ["kind", "core"], "left_semi").count() == 0
+            assert pii.entity_parts(pii.mentions(out)).join(pii.entity_parts(pii.mentions(docs)), ["kind", "core"], "left_semi").count() == 0
         docs = out
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()} and docs.count() < before
