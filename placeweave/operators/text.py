@@ -15,19 +15,23 @@ class CleanRules:
 
     banner: str = r"^(?:NOTICE|DISCLAIMER)[^\n]*\n\s*"
     address_line: str = r"\n[ \t]*[0-9]{1,3}(?:\.[0-9]{1,3}){3}[ \t]*\n"
-    footer_mark: str = r"ns[0-9a-z]*da|And [0-9]+ More"
+    footer_mark: str = r"ns[0-9a-z.]*da|And [0-9]+ More"
     trailing_counts: str = r"(?:\n[ \t\n]*[0-9]{1,6}[ \t]*){1,2}$"
     inline: tuple[str, ...] = (r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"[A-Za-z0-9._]+@mail[0-9]+\.example\.com", r"token = \"[0-9a-f]{40}\"")
     names: tuple[str, ...] = field(default=("address", "mail", "secret"))
 
 
+#: White space of all scripts, as a class that Java and RE2 read alike.
+SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
+
+
 def strip_edges(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"^[ \t\r\n]+", ""), r"[ \t\r\n]+\z", "")
+    return F.regexp_replace(F.regexp_replace(text, rf"^{SPACE}+", ""), rf"{SPACE}+\z", "")
 
 
 def word_count(text: Column) -> Column:
     """Characters other than white space."""
-    return F.length(F.regexp_replace(text, r"[ \t\r\n\x0B\f]+", "")).cast("long")
+    return F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long")
 
 
 def cut_footer(text: Column, rules: CleanRules) -> Column:

@@ -9,7 +9,7 @@ from placeweave.operators import text as tx
 
 from .base import query, read
 
-WC = "CAST(length(regexp_replace(text, '[ \\t\\r\\n\\x0B\\f]+', '', 'g')) AS BIGINT)"
+WC = f"CAST(length(regexp_replace(text, '{tx.SPACE}+', '', 'g')) AS BIGINT)"
 IP, MAIL, HEX = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"[A-Za-z0-9._]+@mail[0-9]+\.example\.com", r'token = "[0-9a-f]{40}"'
 STRIP = r"regexp_replace(regexp_replace({0}, '^[ \t\r\n]+', ''), '[ \t\r\n]+$', '')"
 CLEANED = f"""(SELECT doc_id, lang, source, text, {STRIP.format(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{IP}', '', 'g'), '{MAIL}', '', 'g'), '{HEX}', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")} AS clean_text,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,18 +44,18 @@ def read_wrapped(spark: SparkSession, path: str, entry: str) -> DataFrame:
     return spark.read.schema(f"version string, season string, entries array<{entry}>").json(path, multiLine=True).select("version", "season", F.inline("entries"))
 
 
+_JSON = json.JSONDecoder()
+
+
 def first_json(text: str | None) -> str | None:
-    """First array, else first object, of free text, by matching brackets outside code fences."""
-    if text is None:
-        return None
-    text = text.replace("```json", "").replace("```", "")
-    for open_, close in ("[]", "{}"):
-        start = text.find(open_)
-        depth = 0
-        for k in range(start, len(text)) if start >= 0 else ():
-            depth += (text[k] == open_) - (text[k] == close)
-            if depth == 0:
-                return text[start : k + 1]
+    """The first array that parses, else the first object that parses, anywhere in free text."""
+    for sign in "[{" if text else "":
+        at = text.find(sign)
+        while at >= 0:
+            try:
+                return text[at : _JSON.raw_decode(text, at)[1]]
+            except (ValueError, RecursionError):
+                at = text.find(sign, at + 1)
     return None
 
 

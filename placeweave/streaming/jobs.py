@@ -34,24 +34,30 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     return q
 
 
+def complete_versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the versions under ``folder`` whose write has succeeded, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(x.getPath().getParent().getName()[1:]) for x in found)
+
+
 def upsert_available(df: DataFrame, key: str, order: str, folder: str, checkpoint: str) -> str:
-    """Newest-wins table, a new version per batch under ``folder``: a version is written whole before the
-    pointer moves, so a restart finds the last complete one. Returns the path of the last version."""
+    """Newest-wins table, a new version per batch under ``folder``. A version counts once its write has succeeded, and
+    each batch starts from the last such version before it, so a restart goes on where the table stood. Returns the path
+    of the last version, or an empty string."""
     spark: SparkSession = df.sparkSession
-    last: dict[str, str] = {}
 
     def merge(batch: DataFrame, epoch: int) -> None:
         new = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        path = f"{folder}/v{epoch}"
-        if "path" in last:
-            old = spark.read.parquet(last["path"])
-            both = old.unionByName(new)
+        before = [v for v in complete_versions(spark, folder) if v < epoch]
+        if before:
+            both = spark.read.parquet(f"{folder}/v{before[-1]}").unionByName(new)
             new = both.groupBy(key).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
-        new.write.mode("overwrite").parquet(path)
-        last["path"] = path
+        new.write.mode("overwrite").parquet(f"{folder}/v{epoch}")
 
     df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return last.get("path", "")
+    done = complete_versions(spark, folder)
+    return f"{folder}/v{done[-1]}" if done else ""
 
 
 def scored(df: DataFrame, fn: Callable, schema: str) -> DataFrame:

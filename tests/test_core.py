@@ -7,6 +7,7 @@ from placeweave.functions import names as nm
 from placeweave.operators import graph, match, text
 from placeweave.operators.rules import Rule, violations
 from placeweave.sources import files
+from placeweave.streaming import jobs
 
 
 def one(spark, column):
@@ -111,3 +112,37 @@ def test_rings(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(json.dumps(geo))
         rows = files.read_rings(spark, str(tmp_path / f"{name}.json")).collect()
         assert len(rows) == (2 if name == "b" else 1) and rows[0].points == ring
+
+
+def test_white_space_of_all_scripts(spark):
+    assert one(spark, text.word_count(F.lit("a\u3000b\u00a0 c\u0085\u2003"))) == 3
+    assert one(spark, text.strip_edges(F.lit("\u3000 a b\u00a0\n"))) == "a b"
+
+
+def test_footer_with_a_dotted_mark(spark):
+    body = "story line\n10.1.2.3\nns223.122.76.172da2 and so on"
+    assert one(spark, text.cut_footer(F.lit(body), text.CleanRules())) == "story line"
+
+
+def test_first_json_parses():
+    assert files.first_json('note [not json] then ["]", 2] end') == '["]", 2]'
+    assert files.first_json('{"a": "}"} tail') == '{"a": "}"}' and files.first_json("[1, 2") is None and files.first_json(None) is None
+
+
+def test_upserts_go_on_after_a_restart(spark, tmp_path):
+    def put(name, rows):
+        spark.createDataFrame(rows, "k long, v long, t long").coalesce(1).write.json(f"{tmp_path}/{name}")
+        for f in (tmp_path / name).glob("part-*.json"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            f.rename(tmp_path / "in" / f"{name}.json")
+
+    def run():
+        stream = spark.readStream.schema("k long, v long, t long").json(f"{tmp_path}/in")
+        return jobs.upsert_available(stream, "k", "t", f"{tmp_path}/table", f"{tmp_path}/checkpoint")
+
+    put("a", [(1, 10, 1), (2, 20, 1)])
+    run()
+    put("b", [(2, 21, 2), (3, 30, 2)])
+    last = run()  # a new call knows only what is on disk
+    assert sorted((r.k, r.v) for r in spark.read.parquet(last).collect()) == [(1, 10), (2, 21), (3, 30)]
+    assert run() == last
