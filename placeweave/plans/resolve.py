@@ -1,4 +1,4 @@
-"""Queries: entity resolution, rule cascades, graphs."""
+"""Queries: entity resolution and graphs."""
 
 from __future__ import annotations
 
@@ -47,44 +47,6 @@ def e7(spark, d):
     return c.filter("n >= 2").join(o.filter("owners < 60"), "p_brand").select("p_name", "p_brand")
 
 
-CASCADE = f"""WITH p AS (SELECT * FROM {PLACES} q), a AS (SELECT nation, min(anchor_id) AS anchor FROM {ANCHORS} q GROUP BY 1),
- c AS (SELECT place_id, 1 AS rank, 'EXPLICIT' AS rule, 0.75 AS conf FROM p WHERE score > 9000
- UNION ALL SELECT p.place_id, 2, 'NAME-PLACE', 0.90 FROM p JOIN {ANCHORS} s ON replace(s.name, 'Supplier', 'Customer') = p.name WHERE p.lon BETWEEN 114.0 AND 114.4
- UNION ALL SELECT place_id, 3, 'BLOCK', 0.88 FROM p WHERE regexp_matches(name, '#0+[1-4]0$')
- UNION ALL SELECT place_id, 4, 'CONTAIN', 0.80 FROM p WHERE seg = 'BUILDING' AND nation IN (SELECT nation FROM a)
- UNION ALL SELECT place_id, 5, 'ANCHOR-MEMBER', 0.72 FROM p JOIN a USING (nation) WHERE score > 6000
- UNION ALL SELECT place_id, 6, 'DESC-PLACE', 0.65 FROM p WHERE seg = 'MACHINERY'
- UNION ALL SELECT place_id, 7, 'DISTRICT', 0.55 FROM p WHERE nation % 5 = 0)"""
-
-
-def _rules(spark, d):
-    p, a = places(spark, d), anchors(spark, d)
-    nations = a.select("nation").distinct()
-    named = p.join(a.select(F.replace("name", F.lit("Supplier"), F.lit("Customer")).alias("name")), "name").filter(F.col("lon").between(114.0, 114.4))
-    rows = [
-        (p.filter("score > 9000"), "EXPLICIT", 0.75),
-        (named, "NAME-PLACE", 0.90),
-        (p.filter(F.col("name").rlike("#0+[1-4]0$")), "BLOCK", 0.88),
-        (p.filter("seg = 'BUILDING'").join(nations, "nation", "left_semi"), "CONTAIN", 0.80),
-        (p.filter("score > 6000").join(nations, "nation", "left_semi"), "ANCHOR-MEMBER", 0.72),
-        (p.filter("seg = 'MACHINERY'"), "DESC-PLACE", 0.65),
-        (p.filter("nation % 5 = 0"), "DISTRICT", 0.55),
-    ]
-    return [x.select("place_id", F.lit(rule).alias("rule"), F.lit(conf).alias("conf")) for x, rule, conf in rows]
-
-
-@query("e8_rule_cascade", CASCADE + " SELECT place_id, rule, CAST(conf AS DOUBLE) AS conf FROM c QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY rank) = 1")
-def e8(spark, d):
-    return mt.tiered(_rules(spark, d), ["place_id"], [F.col("rule")]).select("place_id", "rule", "conf")
-
-
-for _rank, _rule in enumerate(["EXPLICIT", "NAME-PLACE", "BLOCK", "CONTAIN", "ANCHOR-MEMBER", "DESC-PLACE", "DISTRICT"]):
-
-    @query(f"e8_rule_{_rule.lower().replace('-', '_')}", CASCADE + f" SELECT place_id, CAST(conf AS DOUBLE) AS conf FROM c WHERE rule = '{_rule}'")
-    def _one(spark, d, k=_rank):
-        return _rules(spark, d)[k].select("place_id", "conf")
-
-
 @query("e9_variant_groups", "SELECT key, list_sort(list(DISTINCT p_name)) AS names FROM (SELECT regexp_replace(p_name, '[aeiou ]|[^aeiou ]{2}', '', 'g') AS key, p_name FROM part) GROUP BY key HAVING count(DISTINCT p_name) >= 2")
 def e9(spark, d):
     x = read(spark, d, "part").select(F.regexp_replace("p_name", "[aeiou ]|[^aeiou ]{2}", "").alias("key"), "p_name")
@@ -107,12 +69,6 @@ def e11(spark, d):
     return c.join(spread, "chapter").select("chapter", "lon", "lat", F.round("spread", 2).alias("spread"), F.round(F.greatest(F.lit(0.0), 0.72 - 0.17 * F.col("spread") / 500), 4).alias("conf"))
 
 
-@query("e12_resolved_context", f"SELECT person, min(title) AS title, 0.55 AS conf FROM {STORY} s WHERE value > 150 GROUP BY person HAVING count(DISTINCT title) = 1")
-def e12(spark, d):
-    g = story(spark, d).filter("value > 150").groupBy("person").agg(F.min("title").alias("title"), F.count_distinct("title").alias("n"))
-    return g.filter("n = 1").select("person", "title", F.lit(0.55).cast("decimal(3,2)").alias("conf"))
-
-
 @query("e13_merge_proposals", "WITH n AS (SELECT p_name, array_to_string(list_sort(string_split(split_part(p_name, ' ', 1), '')), '') AS key, count(*) AS n FROM part GROUP BY 1, 2), c AS (SELECT *, first_value(p_name) OVER (PARTITION BY key ORDER BY n DESC, length(p_name), p_name) AS canon FROM n) SELECT p_name, canon FROM c WHERE p_name <> canon")
 def e13(spark, d):
     key = F.array_join(F.array_sort(F.split(F.substring_index("p_name", " ", 1), "")), "")
@@ -121,28 +77,12 @@ def e13(spark, d):
     return n.select("p_name", canon.alias("canon")).filter("p_name <> canon")
 
 
-@query("e15_e16_best_and_apply", CASCADE + f", b AS (SELECT place_id, rule, conf FROM c QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY conf DESC, rank) = 1) SELECT p.place_id, coalesce(rule, 'NONE') AS rule, CASE WHEN b.conf >= 0.7 AND p.lon BETWEEN 113.9 AND 114.4 THEN 'approximate' ELSE 'fictional' END AS precision FROM {PLACES} p LEFT JOIN b USING (place_id)")
-def e15(spark, d):
-    rows = [r.withColumn("rank", F.lit(k)) for k, r in enumerate(_rules(spark, d), 1)]
-    union = rows[0]
-    for r in rows[1:]:
-        union = union.unionByName(r)
-    b = mt.best(union, ["place_id"], [F.desc("conf"), F.col("rank")])
-    x = places(spark, d).select("place_id", "lon").join(b, "place_id", "left")
-    return x.select("place_id", F.coalesce("rule", F.lit("NONE")).alias("rule"), F.when((F.col("conf") >= 0.7) & F.col("lon").between(113.9, 114.4), "approximate").otherwise("fictional").alias("precision"))
-
-
 @query("e17_provenance", "SELECT l.doc_id, CASE WHEN d.lang = 'en' THEN l.toxic END AS backed FROM labels l LEFT JOIN documents d USING (doc_id)")
 def e17(spark, d):
     x = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "lang"), "doc_id", "left")
     return x.select("doc_id", F.when(F.col("lang") == "en", F.col("toxic")).alias("backed"))
 
 
-@query("e18_e19_merge", "SELECT target, list_sort(list(DISTINCT p_name)) AS aliases, count(*) AS n FROM (SELECT p_partkey % 37 AS target, p_name FROM part) GROUP BY target")
-def e18(spark, d):
-    return read(spark, d, "part").groupBy((F.col("p_partkey") % 37).alias("target")).agg(F.array_sort(F.collect_set("p_name")).alias("aliases"), F.count("*").alias("n"))
-
-
 @query("e20_fictional_anchoring", f"WITH p AS (SELECT * FROM {PLACES} q), c AS (SELECT nation, avg(lon) AS lon FROM p WHERE seg = 'BUILDING' AND lon BETWEEN 114.0 AND 114.3 GROUP BY 1) SELECT p.place_id, CASE WHEN a.anchor_id IS NOT NULL THEN 'parent' WHEN c.nation IS NOT NULL THEN 'chapter' ELSE 'default' END AS source, round(coalesce(a.lon, c.lon, 114.17), 6) AS lon FROM p LEFT JOIN {ANCHORS} a ON a.anchor_id = p.place_id LEFT JOIN c ON c.nation = p.nation AND p.nation < 20 WHERE p.score < 0")
 def e20(spark, d):
     p = places(spark, d)
