@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from placeweave.operators import match as mt
+
 from .base import PLACES, STORY, metres, places, query, read, sql_metres, story
 
 
@@ -77,8 +79,9 @@ def a12(spark, d):
     from placeweave.operators.graph import components
 
     z = zones(spark, d).withColumn("p", F.col("zone") % 5)
-    pair = z.select(F.col("zone").alias("a"), "lon", "lat", "p").join(z.select(F.col("zone").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "p"), "p")
-    e = pair.filter((F.col("a") != F.col("b")) & (metres(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")) <= 3000)).select("a", "b")
+    left, right = z.select(F.col("zone").alias("a"), "lon", "lat", "p"), z.select(F.col("zone").alias("b"), "lon", "lat", F.col("p").alias("q"))
+    near = mt.within(left, right, 3000, metres(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), 0.0292, 0.0272)
+    e = near.filter("a <> b and p = q").select("a", "b")
     return z.select("zone").join(components(e).withColumnRenamed("node", "zone"), "zone", "left").select("zone", F.coalesce("component", "zone").alias("merged"))
 
 

@@ -62,7 +62,7 @@ def j5(spark, d):
 def j6(spark, d):
     w = read(spark, d, "part").select(F.col("p_name").alias("n")).distinct()
     t = w.select(F.explode(F.split("n", " ")).alias("g")).distinct()
-    hits = w.join(mt.sized(t), F.contains("n", "g") | F.contains("g", "n"))
+    hits = mt.mentions(w, t, "n", "g").select("n", "g").union(mt.mentions(t, w, "g", "n").select("n", "g")).distinct()
     return mt.best(hits, ["n"], [F.desc(F.length("g")), F.col("g")])
 
 
@@ -92,7 +92,7 @@ def j9(spark, d):
 def j10(spark, d):
     n = names(spark, d).select("name")
     h = n.select(F.substring_index("name", " ", 1).alias("parent")).distinct().filter(F.length("parent") >= 3)
-    return mt.best(n.join(mt.sized(h), F.contains("name", "parent")), ["name"], [F.desc(F.length("parent")), F.col("parent")])
+    return mt.best(mt.mentions(n, h, "name", "parent"), ["name"], [F.desc(F.length("parent")), F.col("parent")])
 
 
 @query("j11_suffix_parent", "WITH n AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS parent FROM part) SELECT name, parent, round(CAST(0.765 AS DOUBLE), 4) AS conf FROM n JOIN g ON ends_with(name, parent) AND name <> parent QUALIFY row_number() OVER (PARTITION BY name ORDER BY length(parent) DESC, parent) = 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from placeweave.operators import match as mt
 from placeweave.operators import text as tx
 
 from .base import query, read
@@ -169,7 +170,7 @@ def t19(spark, d):
 @query("t20_mention_excerpts", "WITH m AS (SELECT item_id, text AS needle FROM benchmark), h AS (SELECT m.item_id, doc_id, strpos(d.text, needle) AS pos, d.text, row_number() OVER (PARTITION BY m.item_id ORDER BY doc_id) AS rn FROM m JOIN documents d ON contains(d.text, needle)) SELECT item_id, doc_id, substr(text, CAST(greatest(1, pos - 80) AS BIGINT), 190) AS excerpt FROM h WHERE rn <= 3")
 def t20(spark, d):
     needle = read(spark, d, "benchmark").select("item_id", F.col("text").alias("needle"))
-    h = DOCS(spark, d).select("doc_id", "text").join(needle, F.contains("text", "needle"))
+    h = mt.mentions(DOCS(spark, d).select("doc_id", "text"), needle, "text", "needle")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))
     return h.withColumn("rn", rank).filter("rn <= 3").select("item_id", "doc_id", F.col("text").substr(F.greatest(F.lit(1), F.expr("locate(needle, text)") - 80), F.lit(190)).alias("excerpt"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placeweave.operators.match import best
@@ -16,7 +17,8 @@ def v1(spark, d):
         return df.filter(F.contains(F.lower(name), F.lit(needle))).select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"))
 
     h = hits("place", places(spark, d), "name", "place_id", "#00000012").union(hits("part", read(spark, d, "part"), "p_name", "p_partkey", "gear")).union(hits("nation", read(spark, d, "nation"), "n_name", "n_nationkey", "12"))
-    h = h.groupBy("kind").agg(F.count("*").alias("hits"), F.slice(F.array_sort(F.collect_list("id")), 1, 3).alias("first_ids"))
+    first = h.withColumn("rn", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).filter("rn <= 3").groupBy("kind").agg(F.array_sort(F.collect_list("id")).alias("first_ids"))
+    h = h.groupBy("kind").agg(F.count("*").alias("hits")).join(first, "kind")
     return h.select("kind", "hits", F.least(F.lit(50), "hits").alias("shown"), "first_ids")
 
 
