@@ -224,7 +224,7 @@ def e12(spark, d):
     return one.join(two, "place_id", "full").select("place_id", F.coalesce("one", "two").alias("target"), F.when(F.col("one").isNotNull(), 0.62).otherwise(0.55).alias("conf"))
 
 
-MERGES = "(SELECT x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y ON y.c_custkey = CAST(floor(x.c_custkey / 3) AS BIGINT) AND y.c_mktsegment = x.c_mktsegment)"
+MERGES = "(SELECT x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y ON y.c_custkey = CAST(floor(x.c_custkey / 3) AS BIGINT) AND y.c_mktsegment = x.c_mktsegment AND y.c_custkey <> x.c_custkey)"
 
 
 @query("e18_e19_merge", f"WITH RECURSIVE l AS (SELECT * FROM {MERGES} q), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), t AS (SELECT a, b AS root FROM r WHERE b NOT IN (SELECT a FROM l)) SELECT coalesce(root, c_custkey) AS target, list_sort(list(DISTINCT c_name)) AS aliases, list_sort(list(DISTINCT c_nationkey)) AS chapters, count(*) AS n FROM customer LEFT JOIN t ON t.a = c_custkey GROUP BY 1")
