@@ -38,7 +38,7 @@ def hash_point(name) -> tuple:
     return F.lit(LON0) + u(1) * SPAN_LON, F.lit(LAT0) + u(7) * SPAN_LAT
 
 
-def _sql_point(name: str) -> str:
+def sql_point(name: str) -> str:
     u = lambda k: f"(CAST(CAST('0x' || substr(sha256({name}), {k}, 6) AS BIGINT) AS DOUBLE) / 16777216.0)"
     return f"{LON0} + {u(1)} * {SPAN_LON} AS lon, {LAT0} + {u(7)} * {SPAN_LAT} AS lat"
 
@@ -49,7 +49,7 @@ def places(spark, d) -> DataFrame:
     return read(spark, d, "customer").select(F.col("c_custkey").alias("place_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("score"), lon.alias("lon"), lat.alias("lat"))
 
 
-PLACES = f"(SELECT c_custkey AS place_id, c_name AS name, c_mktsegment AS seg, c_nationkey AS nation, c_acctbal AS score, {_sql_point('c_name')} FROM customer)"
+PLACES = f"(SELECT c_custkey AS place_id, c_name AS name, c_mktsegment AS seg, c_nationkey AS nation, c_acctbal AS score, {sql_point('c_name')} FROM customer)"
 
 
 def anchors(spark, d) -> DataFrame:
@@ -58,7 +58,7 @@ def anchors(spark, d) -> DataFrame:
     return read(spark, d, "supplier").select(F.col("s_suppkey").alias("anchor_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), lon.alias("lon"), lat.alias("lat"))
 
 
-ANCHORS = f"(SELECT s_suppkey AS anchor_id, s_name AS name, s_nationkey AS nation, {_sql_point('s_name')} FROM supplier)"
+ANCHORS = f"(SELECT s_suppkey AS anchor_id, s_name AS name, s_nationkey AS nation, {sql_point('s_name')} FROM supplier)"
 
 
 def story(spark, d) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from placeweave.operators import graph as gr
 from placeweave.operators import match as mt
 
-from .base import _sql_point, hash_point, query, read
+from .base import sql_point, hash_point, query, read
 
 #: Least letters of a gazetteer word, an area and an anchor's name; ends of words that are roads or too general.
 WORD, AREA, ANCHOR, GENERAL = 4, 6, 8, "tion"
@@ -139,10 +139,10 @@ def covered(s: DataFrame, a: DataFrame) -> DataFrame:
 
 EVIDENCE = f"""WITH s AS (SELECT doc_id AS place_id, source, words, words[1] AS name FROM (SELECT *, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS words FROM documents) q WHERE len(words) > 0),
  bw AS (SELECT DISTINCT item_id AS anchor, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x))) AS word FROM benchmark),
- g AS (SELECT word, {_sql_point('word')} FROM (SELECT DISTINCT word FROM bw WHERE length(word) >= {WORD}) q),
+ g AS (SELECT word, {sql_point('word')} FROM (SELECT DISTINCT word FROM bw WHERE length(word) >= {WORD}) q),
  a AS (SELECT * FROM g WHERE length(word) >= {AREA} AND NOT ends_with(word, '{GENERAL}')),
  an AS (SELECT anchor, word FROM bw WHERE length(word) >= {ANCHOR}),
- mid AS (SELECT anchor, avg(lon) AS lon, avg(lat) AS lat FROM (SELECT anchor, {_sql_point('word')} FROM an) q GROUP BY 1),
+ mid AS (SELECT anchor, avg(lon) AS lon, avg(lat) AS lat FROM (SELECT anchor, {sql_point('word')} FROM an) q GROUP BY 1),
  told AS (SELECT place_id, name, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM s),
  intext AS (SELECT place_id, name, min(anchor) AS anchor FROM (SELECT DISTINCT place_id, name, word FROM told) q JOIN an USING (word) GROUP BY 1, 2),
  ch AS (SELECT DISTINCT name, source FROM s),

@@ -128,25 +128,6 @@ def w10(spark, d):
     return mt.best(places(spark, d).withColumn("x", F.floor(F.col("lon") * 100)).withColumn("y", F.floor(F.col("lat") * 100)), ["x", "y"], [F.col("nation"), F.col("name")]).select("place_id")
 
 
-@query("w9_name_thinning")
-def w9(spark, d):
-    """At most three labels per name, each at least a spacing away from the name's earlier ones. The candidates
-    of a name are first cut to one per cell of half the spacing, so a group stays small on any input."""
-    import pandas as pd
-
-    p = places(spark, d).select("seg", "place_id", "lon", "lat")
-    cell = p.groupBy("seg", F.floor(F.col("lon") * 20).alias("x"), F.floor(F.col("lat") * 20).alias("y")).agg(F.min(F.struct("place_id", "lon", "lat")).alias("p")).select("seg", "p.*")
-
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for row in pdf.sort_values("place_id").itertuples():
-            if len(kept) < 3 and all((row.lon - k.lon) ** 2 + (row.lat - k.lat) ** 2 >= 0.01 for k in kept):
-                kept.append(row)
-        return pd.DataFrame({"seg": [k.seg for k in kept], "place_id": [k.place_id for k in kept]})
-
-    return cell.groupBy("seg").applyInPandas(thin, "seg string, place_id long")
-
-
 @query("g7_nearest_pairing")
 def g7(spark, d):
     """Open ends paired in rounds of mutual nearest neighbours within a radius, each used once."""

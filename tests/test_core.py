@@ -3,6 +3,8 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+import pytest
+
 from placeweave.functions import names as nm
 from placeweave.operators import graph, match, text
 from placeweave.operators.rules import Rule, violations
@@ -86,11 +88,20 @@ def test_components_and_redirect(spark):
     assert list(map(tuple, moved.collect())) == [(0, 2)]
 
 
-def test_mentions_by_triples_equal_broadcast(spark):
-    texts = spark.createDataFrame([(1, "a cold bolt here"), (2, "nothing"), (3, "")], "k long, t string")
-    names = spark.createDataFrame([("old bolt",), ("cold",), ("zzz",)], "n string")
-    want = sorted((r.k, r.n) for r in match.mentions(texts, names, "t", "n").collect())
-    assert want == sorted((r.k, r.n) for r in match.mentions(texts, names, "t", "n", most=0).collect()) == [(1, "cold"), (1, "old bolt")]
+@pytest.mark.parametrize("names", [["old bolt", "cold", "zzz"], ["a", "he", "bolt", "old", ""], ["x" * 400], ["no", None], []])
+def test_mentions_of_names_of_any_length(spark, names):
+    texts = [(1, "a cold bolt here"), (2, "nothing"), (3, ""), (4, None), (5, "a cold bolt here"), (6, "é" + "x" * 3000), (7, "h")]
+    want = sorted((k, n) for k, t in texts for n in names if t and n and n in t)
+    got = match.mentions(spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame([(n,) for n in names], "n string"), "t", "n")
+    assert sorted((r.k, r.n) for r in got.collect()) == want
+
+
+def test_mentions_do_not_depend_on_the_number_of_names(spark):
+    texts = spark.createDataFrame([(1, "ab x1 and name 77."), (2, "q")], "k long, t string")
+    few = spark.createDataFrame([("x1",), ("q",), ("name 77",)], "n string")
+    many = few.union(spark.range(60_000).selectExpr("concat('other ', id)"))
+    rows = lambda names: sorted((r.k, r.n) for r in match.mentions(texts, names, "t", "n").collect())
+    assert rows(few) == rows(many) == [(1, "name 77"), (1, "x1"), (2, "q")]
 
 
 def test_violations(spark):
