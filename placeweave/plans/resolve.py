@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from placeweave.operators import graph as gr
 from placeweave.operators import match as mt
+from placeweave.operators import spread as sp
 
 from .base import ANCHORS, PLACES, STORY, anchors, metres, places, query, read, sql_metres, story
 
+#: Metres of a degree of longitude and of latitude.
+SCALE = (0.9248 * 111320.0, 110570.0)
+
 
 @query("e1_e2_alias_rules", "SELECT p_name AS name, list_sort(list(DISTINCT p_brand)) AS aliases FROM (SELECT CASE WHEN p_name LIKE 'old %' THEN replace(p_name, 'old ', 'new ') ELSE p_name END AS p_name, p_brand FROM part WHERE p_name NOT LIKE 'hot %') GROUP BY 1")
 def e1(spark, d):
@@ -63,8 +67,7 @@ def e10(spark, d):
 @query("e11_chapter_clusters", f"WITH m AS (SELECT nation AS chapter, place_id, lon, lat FROM {PLACES} p), d AS (SELECT a.chapter, max({sql_metres('a', 'b')}) AS spread FROM m a JOIN m b USING (chapter) GROUP BY 1) SELECT m.chapter, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, round(any_value(spread), 2) AS spread, round(greatest(0, 0.72 - 0.17 * any_value(spread) / 500), 4) AS conf FROM m JOIN d ON d.chapter = m.chapter GROUP BY m.chapter HAVING count(*) >= 2")
 def e11(spark, d):
     m = places(spark, d).select(F.col("nation").alias("chapter"), "lon", "lat")
-    pair = m.join(m.withColumnsRenamed({"lon": "lon2", "lat": "lat2"}), "chapter")
-    spread = pair.groupBy("chapter").agg(F.max(metres(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).alias("spread"))
+    spread = sp.spreads(sp.hulls(m, "chapter"), "chapter", SCALE)  # the two farthest are corners of the hull
     c = m.groupBy("chapter").agg(F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"), F.count("*").alias("n")).filter("n >= 2")
     return c.join(spread, "chapter").select("chapter", "lon", "lat", F.round("spread", 2).alias("spread"), F.round(F.greatest(F.lit(0.0), 0.72 - 0.17 * F.col("spread") / 500), 4).alias("conf"))
 
@@ -93,10 +96,8 @@ def e20(spark, d):
 
 @query("e21_largest_ball", f"WITH p AS (SELECT * FROM {PLACES} q), n AS (SELECT a.nation, a.place_id, count(*) AS n, avg(b.lon) AS lon FROM p a JOIN p b USING (nation) WHERE {sql_metres('a', 'b')} <= 20000 GROUP BY 1, 2) SELECT nation, place_id, n, round(lon, 6) AS lon FROM n WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY nation ORDER BY n DESC, place_id) = 1")
 def e21(spark, d):
-    p = places(spark, d).select("nation", "place_id", "lon", "lat")
-    pair = p.join(p.select("nation", F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), "nation").filter(metres(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")) <= 20000)
-    n = pair.groupBy("nation", "place_id").agg(F.count("*").alias("n"), F.round(F.avg("lon2"), 6).alias("lon")).filter("n >= 2")
-    return mt.best(n, ["nation"], [F.desc("n"), F.col("place_id")])
+    p = places(spark, d).select("nation", F.col("place_id").alias("id"), "lon", "lat")
+    return sp.largest_balls(p, "nation", 20000, metres, SCALE).select("nation", F.col("id").alias("place_id"), "n", F.round("lon", 6).alias("lon"))
 
 
 @query("e22_place_build", "SELECT p_name, p_partkey, p_retailprice AS conf FROM part WHERE p_retailprice >= 960 QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1")
