@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placeweave.operators import match as mt
+from placeweave.operators.numbering import numbered
 
 from .base import PLACES, STORY, metres, places, query, read, sql_metres, story
 
@@ -213,13 +214,9 @@ def w1(spark, d):
 
 @query("w2_sequential_ids", "SELECT c_custkey, 'loc_' || lpad(CAST(row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS VARCHAR), 6, '0') AS id FROM customer")
 def w2(spark, d):
-    """Numbers in a global order without one window over all rows: counts per group, then numbers inside."""
-    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    sizes = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.c_mktsegment") < F.col("a.c_mktsegment"), "left").groupBy("a.c_mktsegment").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("off"))
-    rn = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey"))
-    x = c.withColumn("rn", rn).join(F.broadcast(before), "c_mktsegment")
-    return x.select("c_custkey", F.concat(F.lit("loc_"), F.lpad((F.col("rn") + F.col("off")).cast("string"), 6, "0")).alias("id"))
+    """Numbers in a global order; ranges of it are numbered side by side."""
+    c = numbered(read(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment", "c_custkey"])
+    return c.select("c_custkey", F.concat(F.lit("loc_"), F.lpad(F.col("number").cast("string"), 6, "0")).alias("id"))
 
 
 @query("w4_route_compression", f"WITH f AS (SELECT person, chapter, arg_min(title, event_id) AS place FROM {STORY} s GROUP BY 1, 2), w AS (SELECT *, lag(place) OVER o AS prev, lead(place) OVER o AS nxt, count(*) OVER (PARTITION BY person) AS n FROM f WINDOW o AS (PARTITION BY person ORDER BY chapter)) SELECT person, chapter, place FROM w WHERE n >= 5 AND (prev IS NULL OR place <> prev OR nxt IS NULL OR nxt <> place)")

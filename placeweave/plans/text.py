@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placeweave.operators import match as mt
 from placeweave.operators import text as tx
+from placeweave.operators.numbering import numbered
 
 from .base import query, read
 
@@ -104,9 +105,9 @@ def t10(spark, d):
 
 @query("t11_exact_duplicates", "SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents) WHERE doc_id <> first_id")
 def t11(spark, d):
-    h = DOCS(spark, d).select("doc_id", F.sha2("text", 256).alias("h"))
-    first = h.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")  # pre-aggregated: no window over a hot text
-    return h.join(first, "h").filter("doc_id <> first_id").select("doc_id", "first_id")
+    h = DOCS(spark, d).select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("none")).alias("h"))  # missing texts are equal
+    first = h.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")  # only texts that recur travel
+    return mt.salted(h, first, ["h"], F.col("doc_id")).filter("doc_id <> first_id").select("doc_id", "first_id")
 
 
 @query("t12_completeness", "WITH e AS (SELECT unnest(range(0, 1 + (SELECT max(conv_id) FROM conversations))) AS id), a AS (SELECT conv_id AS id, count(*) AS n FROM conversations WHERE turn = 0 GROUP BY 1) SELECT 'missing' AS what, e.id FROM e ANTI JOIN a USING (id) UNION ALL SELECT 'duplicate', id FROM a WHERE n > 1")
@@ -177,8 +178,7 @@ def t20(spark, d):
 
 @query("t21_prompt_batches", "WITH n AS (SELECT doc_id, lang, substr(text, 1, 150) AS cut, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rn FROM documents) SELECT lang, CAST(floor(rn / 20) AS BIGINT) AS batch, count(*) AS n, sha256(string_agg(CAST(rn % 20 AS VARCHAR) || ': ' || cut, chr(10) ORDER BY rn)) AS prompt_hash FROM n GROUP BY 1, 2")
 def t21(spark, d):
-    rn = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    x = DOCS(spark, d).select("lang", F.substring("text", 1, 150).alias("cut"), rn.alias("rn"))
+    x = numbered(DOCS(spark, d).select("doc_id", "lang", F.substring("text", 1, 150).alias("cut")), ["doc_id"], by=["lang"], name="rn", start=0)
     x = x.withColumn("line", F.concat((F.col("rn") % 20).cast("string"), F.lit(": "), F.col("cut"))).withColumn("batch", F.floor(F.col("rn") / 20))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "line"))), lambda s: s["line"]), "\n")
     return x.groupBy("lang", "batch").agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("prompt_hash"))
@@ -248,7 +248,7 @@ def p3(spark, d):
 @query("flagship_source_report", f"""WITH w AS (SELECT doc_id, lang, source, {WC} AS wc, text, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents), m AS (SELECT median(wc) AS med FROM w)
  SELECT lang, source, count(*) AS n_docs, count(*) FILTER (doc_id <> first_id) AS duplicates, count(*) FILTER (wc < 0.55 * med) AS outliers, count(*) FILTER (CAST(length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS DOUBLE) / greatest(1, wc) < 0.5) AS odd_script, median(wc) AS median_wc FROM w, m GROUP BY lang, source""")
 def flagship(spark, d):
-    w = DOCS(spark, d).select("doc_id", "lang", "source", tx.word_count(F.col("text")).alias("wc"), F.sha2("text", 256).alias("h"), F.regexp_count("text", F.lit("[A-Za-z]")).alias("latin"))
-    first = w.groupBy("h").agg(F.min("doc_id").alias("first_id"))
-    w = w.join(F.broadcast(w.agg(F.percentile("wc", 0.5).alias("med")))).join(first, "h")
+    w = DOCS(spark, d).select("doc_id", "lang", "source", tx.word_count(F.col("text")).alias("wc"), F.coalesce(F.sha2("text", 256), F.lit("none")).alias("h"), F.regexp_count("text", F.lit("[A-Za-z]")).alias("latin"))
+    first = w.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")  # only texts that recur travel
+    w = mt.salted(w.join(F.broadcast(w.agg(F.percentile("wc", 0.5).alias("med")))), first, ["h"], F.col("doc_id"), "left")
     return w.groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("doc_id") != F.col("first_id")).alias("duplicates"), F.count_if(F.col("wc") < 0.55 * F.col("med")).alias("outliers"), F.count_if(F.col("latin") / F.greatest(F.lit(1), F.col("wc")) < 0.5).alias("odd_script"), F.percentile("wc", 0.5).alias("median_wc"))

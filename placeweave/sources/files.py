@@ -9,17 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from placeweave.operators.numbering import numbered_lines
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, quarantine). Blank lines are skipped. Strict reading fails on the first bad line; otherwise bad
-    lines and values that aren't objects go to the quarantine with their text."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    if strict:
-        return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"), lines.limit(0)
+
+def read_json_lines(spark: SparkSession, path: str, schema: StructType, strict: bool = False, line_numbers: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine). Blank lines are skipped but counted. Strict reading fails and names the first bad line; otherwise
+    bad lines and values that aren't objects go to the quarantine with file, line number and text. Rows bear their line
+    number as ``_line_no`` if asked for."""
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
     wide = StructType([*schema.fields]).add("_corrupt_record", "string")
-    parsed = lines.select("value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    parsed = lines.select("file", "line_no", "value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | ~F.trim("value").startswith("{")
-    return parsed.filter(~bad).select(*[F.col(f"r.{f.name}") for f in schema.fields]), parsed.filter(bad).select("value")
+    wrong = parsed.filter(bad).select("file", "line_no", "value")
+    if strict:
+        first = wrong.orderBy("file", "line_no").limit(1).collect()
+        if first:
+            raise ValueError(f"{first[0]['file']}, line {first[0]['line_no']}: no JSON object")
+    extra = [F.col("line_no").alias("_line_no")] if line_numbers else []
+    return parsed.filter(~bad).select(*[F.col(f"r.{f.name}") for f in schema.fields], *extra), wrong
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:

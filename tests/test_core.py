@@ -56,7 +56,11 @@ def test_json_lines_quarantine(spark, tmp_path):
     path.write_text('{"story": "x", "n": 1}\n\nnot-json\n[1]\n{"story": "y"}\n')
     schema = StructType([StructField("story", StringType()), StructField("n", LongType())])
     good, bad = files.read_json_lines(spark, str(path), schema)
-    assert sorted(map(tuple, good.collect()), key=str) == [("x", 1), ("y", None)] and bad.count() == 2
+    assert sorted(map(tuple, good.collect()), key=str) == [("x", 1), ("y", None)]
+    assert sorted((r.line_no, r.value) for r in bad.collect()) == [(3, "not-json"), (4, "[1]")]
+    assert sorted(r._line_no for r in files.read_json_lines(spark, str(path), schema, line_numbers=True)[0].collect()) == [1, 5]
+    with pytest.raises(ValueError, match="in.jsonl, line 3"):
+        files.read_json_lines(spark, str(path), schema, strict=True)
 
 
 def test_feature_and_map_readers(spark, tmp_path):
@@ -157,3 +161,13 @@ def test_upserts_go_on_after_a_restart(spark, tmp_path):
     last = run()  # a new call knows only what is on disk
     assert sorted((r.k, r.v) for r in spark.read.parquet(last).collect()) == [(1, 10), (2, 21), (3, 30)]
     assert run() == last
+
+
+def test_missing_and_repeated_texts_are_counted(spark, tmp_path):
+    from placeweave.plans import text
+
+    rows = [(k, None if k % 5 == 0 else "same" if k % 2 else f"text {k}", "en", "s", 4) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = text.flagship(spark, str(tmp_path)).collect()
+    assert [(r.n_docs, r.duplicates) for r in out] == [(40, 7 + 15)]
+    assert len(text.t11(spark, str(tmp_path)).collect()) == 7 + 15
