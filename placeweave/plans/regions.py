@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from placeweave.operators import density as dn
 from placeweave.operators import polygons as pg
 from placeweave.operators.graph import kept
 
-from .base import PLACES, hash_point, places, query, read, sql_point
+from .base import ANCHORS, PLACES, anchors, hash_point, places, query, read, sql_point
 
 #: Side of a cell of the cover, in degrees.
 CELL = 0.01
@@ -89,3 +90,24 @@ def f37_rings(spark, d):
         F.min(F.least("y1", "y2")).alias("la"), F.max(F.greatest("y1", "y2")).alias("ha"),
     )
     return g.filter("hi >= 114.05 and lo <= 114.25 and ha >= 22.28 and la <= 22.44 and area >= 20000000").select("ring", "vertices", F.round("area", 0).alias("area"))
+
+
+WIDTH, HEIGHT, SIGMA, STEP = 120, 74, 2.5, 0.005
+_CELL = f"CAST(floor((lon - 113.85) / {STEP}) AS BIGINT) AS cx, CAST(floor((lat - 22.18) / {STEP}) AS BIGINT) AS cy"
+_WEIGHTS = ", ".join(f"({k}, CAST({dn.kernel(SIGMA)[abs(k)]!r} AS DOUBLE))" for k in range(-10, 11))
+
+
+def _pass(frame: str, axis: str, other: str, size: int) -> str:
+    at = f"(({axis} + k) % {2 * size} + {2 * size}) % {2 * size}"
+    return f"SELECT CASE WHEN {at} < {size} THEN {at} ELSE {2 * size - 1} - {at} END AS {axis}, {other}, sum(value * w) AS value FROM {frame}, k GROUP BY 1, 2"
+
+
+@query("a26_urban_mask", f"""WITH k(k, w) AS (VALUES {_WEIGHTS}), c AS (SELECT DISTINCT cx, cy, 1.0::DOUBLE AS value FROM (SELECT {_CELL} FROM {PLACES} p WHERE seg <> 'MACHINERY') WHERE cx BETWEEN 0 AND {WIDTH - 1} AND cy BETWEEN 0 AND {HEIGHT - 1}),
+ x AS ({_pass('c', 'cx', 'cy', WIDTH)}), y AS ({_pass('x', 'cy', 'cx', HEIGHT)}), g AS (SELECT a.range AS cx, b.range AS cy FROM range({WIDTH}) a, range({HEIGHT}) b WHERE b.range >= 12),
+ v AS (SELECT g.cx, g.cy, coalesce(value, 0) AS value FROM g LEFT JOIN y ON y.cx = g.cx AND y.cy = g.cy), r AS (SELECT quantile_cont(value, 0.98) AS ref FROM v)
+ SELECT cx, cy, round(least(1, value / ref), 6) AS density FROM v, r WHERE least(1, value / ref) > 0.18 AND NOT EXISTS (SELECT 1 FROM (SELECT {_CELL} FROM {ANCHORS} a) s WHERE s.cx = v.cx AND s.cy = v.cy)""")
+def a26_mask(spark, d):
+    """Built-up cells: places are smoothed over a grid whose southern strip is sea; cells of anchors are water."""
+    cell = lambda df: df.select(F.floor((F.col("lon") - 113.85) / STEP).alias("cx"), F.floor((F.col("lat") - 22.18) / STEP).alias("cy"))
+    out = dn.dense_cells(cell(places(spark, d).filter("seg <> 'MACHINERY'")), WIDTH, HEIGHT, SIGMA, F.col("cy") >= 12, cell(anchors(spark, d)))
+    return out.select("cx", "cy", F.round("density", 6).alias("density"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from placeweave.operators import actions as ac
 from placeweave.operators import graph as gr
 from placeweave.operators import match as mt
 from placeweave.operators import spread as sp
@@ -177,3 +178,23 @@ def e14(spark, d):
     pairs = pairs.withColumn("x", F.substring_index("a", " ", 1)).withColumn("y", F.substring_index("b", " ", 1)).join(F.broadcast(contrast), ["x", "y"], "left_anti")
     base = F.when(F.length("a") == F.length("b"), 0.5).otherwise(0.6)
     return pairs.select("a", "b", F.when(F.size(F.array_intersect("ch", "ch2")) == 0, F.least(F.lit(0.45), base)).otherwise(base).alias("conf"))
+
+
+def action_rows(spark, d):
+    """Rows of people from parts, and a log of decisions about them from orders of one day."""
+    p = read(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("name"), F.array("p_brand", "p_type", F.reverse("p_name"), F.concat("p_type", F.lit(" "), "p_brand")).alias("aliases"))
+    kinds = F.array(*[F.lit(k) for k in (ac.RENAME, ac.SPLIT, ac.REMOVE_ALIAS, ac.MERGE_ROUTES, ac.BULK_REMOVE, ac.DEFINE, ac.KEEP, ac.REMOVE, ac.MERGE_INTO)])
+    s = read(spark, d, "supplier").join(p.select(F.col("p_partkey").alias("s_suppkey"), F.col("p_name").alias("subject")), "s_suppkey")
+    q = p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), "p_brand", "p_type")
+    s = s.withColumn("other", F.col("s_suppkey") + 17).join(q, "other")
+    kind = F.get(kinds, (F.col("s_suppkey") % 9).cast("int"))
+    named = kind.isin(ac.RENAME, ac.SPLIT, ac.MERGE_ROUTES, ac.MERGE_INTO)
+    log = s.select(F.col("s_suppkey").alias("seq"), kind.alias("action"), "subject", F.when(named, F.col("other_name")).when(F.col("s_suppkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_type")).alias("object"), F.floor(F.col("s_suppkey") / 30).alias("block"))
+    return rows, log
+
+
+@query("e3_action_log")
+def e3_log(spark, d):
+    """All kinds of decisions replayed in the order of their log; compared with a sequential replay in the tests."""
+    return ac.replay(*action_rows(spark, d))
