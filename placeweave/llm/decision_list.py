@@ -185,11 +185,12 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[dict]:
     """Statistics of at most SAMPLE_ROWS labelled documents, in the order of a hash of their id; those that
-    fail the base rules teach nothing. A third is kept aside for pruning."""
+    fail the base rules teach nothing. Of rows that share an id one text is taken. A third is kept aside for pruning."""
     rank = F.xxhash64(F.lit(11), "doc_id")
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null")
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(rank, "doc_id").limit(SAMPLE_ROWS)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")  # SAMPLE_ROWS ids at most
+    known = known.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     found = statistics(known).select(*RATIOS, (F.col("quality") == 0).alias("junk"), (F.pmod(rank, F.lit(3)) == 0).alias("aside"), base_failed().alias("failed"))
     return [r.asDict() for r in found.collect() if not r["failed"]]
 

@@ -270,8 +270,12 @@ def _star_pairs(placed: DataFrame, tops: DataFrame, bits: DataFrame, percent: in
 
 def _rows(docs: DataFrame) -> DataFrame:
     """``doc_id`` as a string (pandas never turns it into a float), ``text``, and a key that tells rows of one id or of none apart."""
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"), row_key().alias("row_key"))
+
+
+def row_key() -> Column:
+    """A key of a row's id and text."""
+    return F.xxhash64(F.col("doc_id").cast("string"), text_or_empty())
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -282,6 +286,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     are linked with nothing; rows with equal sets are linked whatever their number; a row whose id is
     null gets the component of its class, or null where no row of it has an id, and is kept. Only ``doc_id`` and
     ``text`` are read, so other columns may have any name; an empty table gives no rows."""
+    out = _linked(docs, words, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def kept_keys(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``row_key`` (see ``row_key()``) of the rows with an id that stay: of each group of near-duplicates the one with the
+    smallest id (of several texts of that id, one), and all rows without shingles."""
+    rows = _linked(docs, words, percent).filter("doc_id is not null")
+    first = rows.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct("doc_id", "row_key")).alias("m")).select("m.row_key")
+    return first.union(rows.filter("n_shingles = 0").select("row_key")).distinct()
+
+
+def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id, row_key, n_shingles, component_id, group`` of each row; ``group`` tells components apart whatever ids they have."""
     schema = "doc_id string, row_key long, n_shingles long, node long, proof long, bands array<long>, bits array<long>"
     signed = _rows(docs).mapInPandas(_signed(words), schema)
     signed = written(signed.withColumn("doc_id", F.col("doc_id").cast("long")), "signed")
@@ -314,10 +332,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     reach = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = reach.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("n_docs").alias("n"))
-    named = reach.select("node", "proof", "component").join(first.filter("n > 1"), "component").select("node", "proof", "component_id")
-    out = salted_join(signed.select("doc_id", "n_shingles", "node", "proof"), named, ["node", "proof"], F.col("doc_id"), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = reach.select("node", "proof", "component").join(first.filter("n > 1"), "component").select("node", "proof", "component", "component_id")
+    out = salted_join(signed.select("doc_id", "row_key", "n_shingles", "node", "proof"), named, ["node", "proof"], F.col("doc_id"), "left")
+    return out.select("doc_id", "row_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "node").alias("group"))
 
 
 def op5_bbit_minhash(spark, sf_dir: str) -> DataFrame:

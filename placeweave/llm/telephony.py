@@ -11,8 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import keyed_texts, with_key
+from .common import keyed_texts, spare, with_key
 
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
 #: Payload unit of the query, in bytes; also the size of an ADPCM block.
@@ -130,20 +131,22 @@ def _groups(sizes: list[int], most: int = BATCH_BYTES) -> Iterator[slice]:
 
 def decode_audio(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with ``pcm`` (binary, little-endian 16 bit) and ``pcm_rate``: the WAV bytes in ``media``
-    decoded and resampled to twice their rate. Null, empty and broken files give empty PCM and rate 0."""
-    names = df.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", pcm binary, pcm_rate int"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            files = [bytes(x) if x is not None else b"" for x in pdf[media]]
+    decoded and resampled to twice their rate. Null, empty and broken files give empty PCM and rate 0. Columns of these two
+    names are replaced; other columns come back as they are, ids beside nulls too; repeated rows stay, an empty table gives no rows."""
+    names = [c for c in df.columns if c.lower() not in ("pcm", "pcm_rate")]
+    (heard,) = spare(df.columns, "heard")
+
+    @F.pandas_udf("pcm binary, pcm_rate int")
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for own in batches:
+            files = [bytes(x) if x is not None else b"" for x in own]
+            pcm, rate = [], []
             for part in _groups([len(x) for x in files]):
-                out = pdf.iloc[part][names].copy()
-                out["pcm"] = [x.astype("<i2").tobytes() for x in decode_many(files[part])]
-                out["pcm_rate"] = [2 * unwrap(x)[1] for x in files[part]]
-                yield out
+                pcm += [x.astype("<i2").tobytes() for x in decode_many(files[part])]
+                rate += [2 * unwrap(x)[1] for x in files[part]]
+            yield pd.DataFrame({"pcm": pd.Series(pcm, dtype=object), "pcm_rate": pd.Series(rate, dtype="int32")})
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(heard, decoded(F.col(f"`{media}`"))).select(*[F.col(f"`{c}`") for c in names], F.col(f"{heard}.pcm").alias("pcm"), F.col(f"{heard}.pcm_rate").alias("pcm_rate"))
 
 
 def features(pcm: np.ndarray) -> str:
@@ -161,7 +164,8 @@ def padded(data: bytes, unit: int = UNIT) -> bytes:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """Each text's bytes stored as the samples of a mu-law WAV file, read back, and decoded three ways:
-    the samples by the mu-law and A-law tables, and the same bytes as ADPCM blocks of 576. Returns digests
+    the samples by the mu-law and A-law tables, and the same bytes as ADPCM blocks of 576. The resampled PCM of the mu-law
+    samples is stored as a WAV file of its own (``pcm_bytes``, ``pcm_sha256``) and read back. Returns digests
     and ``feature`` (peak, mean square and sign changes of each). Null and empty texts are one unit of padding;
     repeated rows stay; equal texts give equal values whatever rows surround them."""
 
@@ -173,6 +177,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 media = [wrap(padded(t), MU_LAW) for t in own]
                 back = [unwrap(m)[3] for m in media]
                 heard = [decode_many([f(b) for b in back]) for f in (lambda b: wrap(b, MU_LAW), lambda b: wrap(b, A_LAW), lambda b: wrap(b, IMA_ADPCM, block=UNIT))]
+                stored = [wrap(x.astype("<i2").tobytes(), PCM, rate=2 * RATE) for x in heard[0]]
+                heard[0] = [np.frombuffer(unwrap(m)[3], "<i2") for m in stored]
                 yield pd.DataFrame({
                     "doc_id": pdf["doc_id"].iloc[part],
                     "n_bytes": [len(t) for t in own],
@@ -182,9 +188,11 @@ def store_texts(docs: DataFrame) -> DataFrame:
                     "media_bytes": [len(m) for m in media],
                     "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
                     "feature": ["|".join(map(features, x)) for x in zip(*heard)],
+                    "pcm_bytes": [len(m) for m in stored],
+                    "pcm_sha256": [hashlib.sha256(m).hexdigest() for m in stored],
                 })
 
-    schema = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
     return with_key(keyed_texts(docs).mapInPandas(run, schema), docs)
 
 

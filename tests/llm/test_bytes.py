@@ -129,3 +129,22 @@ def test_decode_audio_column(spark):
     got = {r.k: r for r in telephony.decode_audio(spark.createDataFrame(files, "k long, media binary")).collect()}
     assert len(got[1].pcm) == 400 and got[1].pcm_rate == 16000 and len(got[2].pcm) == len(got[3].pcm) == 0
     assert np.frombuffer(bytes(got[4].pcm), "<i2").tolist() == [1, 1, 2, 2]
+
+
+def test_decode_audio_keeps_ids_and_own_columns(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, telephony.wrap(b"\xff\x00"), "own", "h"), (None, None, None, None), (big, telephony.wrap(b"\xff\x00"), "own", "h")], "id long, media binary, pcm string, heard string")
+    out = telephony.decode_audio(df)
+    rows = out.collect()
+    assert out.columns == ["id", "media", "heard", "pcm", "pcm_rate"] and [r.id for r in rows] == [big, None, big]
+    assert len(rows[0].pcm) == 8 and rows[1].pcm == b"" and rows[0].heard == "h"
+    assert telephony.decode_audio(df.limit(0)).count() == 0 and telephony.store_texts(df.selectExpr("id as doc_id", "pcm as text").limit(0)).count() == 0
+
+
+def test_stored_pcm_is_the_resampled_audio(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, None), (3, "x" * 2000)], "doc_id long, text string")
+    for r in telephony.store_texts(docs).collect():
+        text = {1: b"abc", 2: b"", 3: b"x" * 2000}[r.doc_id]
+        (pcm,) = telephony.decode_many([telephony.wrap(telephony.padded(text))])
+        media = telephony.wrap(pcm.astype("<i2").tobytes(), telephony.PCM, rate=2 * telephony.RATE)
+        assert (r.pcm_bytes, r.pcm_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and r.feature.split("|")[0] == telephony.features(pcm)
