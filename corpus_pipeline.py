@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.llm import line_templates, minhash, packing, pii, toxicity
-from placeweave.llm.common import table, written
+from placeweave.llm.common import spare, table, written
 
 #: Not expressible in SQL: learned scores, keyed surrogates and packing. Tested against brute force instead.
 ORACLE_SQL = None
@@ -37,10 +37,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: the one with
-    the smallest id. Of rows equal in id and text one stays; rows without an id stay."""
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    the smallest id. Rows are told apart by id and text: of equal ones one stays; rows without an id stay."""
+    (key,) = spare(docs.columns, "row_key")
+    kept = minhash.kept_keys(docs).withColumnRenamed("row_key", key)
+    named = docs.withColumn(key, minhash.row_key()).join(kept, key, "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
