@@ -7,13 +7,16 @@ names are its long words. Names are matched as whole words, so each rule is an e
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.operators import graph as gr
 from placeweave.operators import match as mt
+from placeweave.operators.graph import kept
 
-from .base import sql_point, hash_point, query, read
+from .base import hash_point, query, read, sql_point
 
 #: Least letters of a gazetteer word, an area and an anchor's name; ends of words that are roads or too general.
 WORD, AREA, ANCHOR, GENERAL = 4, 6, 8, "tion"
@@ -65,59 +68,94 @@ def chapters(s: DataFrame) -> DataFrame:
 
 def companions(s: DataFrame, first: DataFrame) -> DataFrame:
     """name, anchor: the first anchor of which another name occurs in a chapter of this name. A chapter only keeps
-    its first anchor, and the first one by another name."""
+    its first anchor, and the first one by another name; chapters are few and large, so their names are dealt."""
     here = chapters(s)
     known = here.join(mt.sized(first), F.col("name") == F.col("word")).select("source", F.struct("anchor", "word").alias("hit"))
     one = known.groupBy("source").agg(F.min("hit").alias("one"))
-    two = known.join(one, "source").filter("hit.word <> one.word").groupBy("source").agg(F.min("hit").alias("two"))
+    two = mt.salted(known, one, ["source"], F.col("hit.word")).filter("hit.word <> one.word").groupBy("source").agg(F.min("hit").alias("two"))
     hit = F.when(F.col("one.word") == F.col("name"), F.col("two.anchor")).otherwise(F.col("one.anchor"))
-    return here.join(one.join(two, "source", "left"), "source").groupBy("name").agg(F.min(hit).alias("together")).filter("together is not null")
-
-
-def rules(spark, d) -> dict[str, DataFrame]:
-    """``place_id, target, lon, lat`` of each rule."""
-    s, g, names = subjects(spark, d), gazetteer(spark, d), anchor_names(spark, d)
-    middle = centroids(names)
-    first = names.groupBy("word").agg(F.min("anchor").alias("anchor"))
-    told = s.select("place_id", "name", F.posexplode("words").alias("pos", "word"))
-    said = told.groupBy("place_id", "name", "word").agg(F.min("pos").alias("pos"))
-    in_text = said.join(mt.sized(first), "word").groupBy("place_id", "name").agg(F.min("anchor").alias("anchor"))
-    has = lambda w: s.filter(F.array_contains("words", w)).select("place_id")
-    together = companions(s, first)
-    at_anchor = lambda x: x.join(mt.sized(middle), "anchor").select("place_id", F.col("anchor").cast("string").alias("target"), "lon", "lat")
-    at_word = lambda x: x.select("place_id", F.col("word").alias("target"), "lon", "lat")
-
-    named = s.select("place_id", F.col("name").alias("word")).join(mt.sized(g.filter(~F.endswith("word", F.lit(GENERAL)) & F.col("lon").between(114.0, 114.4))), "word")
-
-    letter = F.regexp_extract("name", "^([a-d])[nrt]", 1)
-    block = s.select("place_id", "name", letter.alias("letter"), F.array_contains("words", BASE).alias("base")).filter("letter <> ''")
-    block = block.join(together, "name", "left").filter("together is not null or base").withColumn("anchor", F.coalesce("together", F.lit(0)))
-    base = middle.select("anchor", "lon", "lat")
-    step = (F.ascii("letter") - 97) * 0.0002
-    block = block.join(mt.sized(base), "anchor").select("place_id", F.concat_ws("/", F.col("anchor").cast("string"), F.upper("letter")).alias("target"), (F.col("lon") + step).alias("lon"), (F.col("lat") - step).alias("lat"))
-
-    n = F.length("name")
-    parts = lambda i: F.transform(F.sequence(F.lit(WORD), n - i + 1), lambda k: F.col("name").substr(i, k))
-    own = s.select("place_id", "name").filter(n > WORD)
-    inner = own.withColumn("word", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n - WORD + 1), parts))))).filter("word <> name")
-    contain = inner.join(mt.sized(g), "word").groupBy("place_id").agg(F.min(F.struct((-F.length("word")).alias("k"), "word", "lon", "lat")).alias("m")).select("place_id", "m.word", "m.lon", "m.lat")
-
-    heads = s.select("place_id", "name").filter(n >= ANCHOR).withColumn("word", F.explode(F.transform(F.sequence(F.lit(ANCHOR), n), lambda k: F.col("name").substr(F.lit(1), k))))
-    by_name = heads.join(mt.sized(first), "word").select("place_id", "anchor")
-    backed = in_text.join(together, "name", "left").join(has(BASE).withColumn("base", F.lit(True)), "place_id", "left").filter("together is not null or base")
-    member = by_name.union(backed.select("place_id", "anchor")).groupBy("place_id").agg(F.min("anchor").alias("anchor"))
-
-    desc = said.join(mt.sized(areas(g)), "word").groupBy("place_id").agg(F.min(F.struct("pos", "word", "lon", "lat")).alias("m")).select("place_id", "m.word", "m.lon", "m.lat")
-
-    return {
-        "EXPLICIT": at_anchor(in_text.join(has(MARKER), "place_id", "left_semi")),
-        "NAME-PLACE": at_word(named),
-        "BLOCK": block,
-        "CONTAIN": at_word(contain),
-        "ANCHOR-MEMBER": at_anchor(member),
-        "DESC-PLACE": at_word(desc),
-        "DISTRICT": at_word(covered(s, areas(g))),
-    }
+    return mt.salted(here, one.join(two, "source", "left"), ["source"], F.col("name")).groupBy("name").agg(F.min(hit).alias("together")).filter("together is not null")
+
+
+class Evidence:
+    """What the rules draw on; each part is made when a rule first asks for it."""
+
+    def __init__(self, spark, d):
+        self.s = kept(subjects(spark, d), "subjects")  # the texts' words, read by every rule
+        self.gazetteer, self.names = gazetteer(spark, d), anchor_names(spark, d)
+
+    @cached_property
+    def middle(self) -> DataFrame:
+        return centroids(self.names)
+
+    @cached_property
+    def first(self) -> DataFrame:
+        return self.names.groupBy("word").agg(F.min("anchor").alias("anchor"))
+
+    @cached_property
+    def said(self) -> DataFrame:
+        told = self.s.select("place_id", "name", F.posexplode("words").alias("pos", "word"))
+        return told.groupBy("place_id", "name", "word").agg(F.min("pos").alias("pos"))
+
+    @cached_property
+    def in_text(self) -> DataFrame:
+        return self.said.join(mt.sized(self.first), "word").groupBy("place_id", "name").agg(F.min("anchor").alias("anchor"))
+
+    @cached_property
+    def together(self) -> DataFrame:
+        return companions(self.s, self.first)
+
+    def has(self, word: str) -> DataFrame:
+        return self.s.filter(F.array_contains("words", word)).select("place_id")
+
+    def at_anchor(self, x: DataFrame) -> DataFrame:
+        return x.join(mt.sized(self.middle), "anchor").select("place_id", F.col("anchor").cast("string").alias("target"), "lon", "lat")
+
+    @staticmethod
+    def at_word(x: DataFrame) -> DataFrame:
+        return x.select("place_id", F.col("word").alias("target"), "lon", "lat")
+
+    def explicit(self) -> DataFrame:
+        return self.at_anchor(self.in_text.join(self.has(MARKER), "place_id", "left_semi"))
+
+    def name_place(self) -> DataFrame:
+        known = self.gazetteer.filter(~F.endswith("word", F.lit(GENERAL)) & F.col("lon").between(114.0, 114.4))
+        return self.at_word(self.s.select("place_id", F.col("name").alias("word")).join(mt.sized(known), "word"))
+
+    def block(self) -> DataFrame:
+        letter = F.regexp_extract("name", "^([a-d])[nrt]", 1)
+        block = self.s.select("place_id", "name", letter.alias("letter"), F.array_contains("words", BASE).alias("base")).filter("letter <> ''")
+        block = block.join(self.together, "name", "left").filter("together is not null or base").withColumn("anchor", F.coalesce("together", F.lit(0)))
+        step = (F.ascii("letter") - 97) * 0.0002
+        target = F.concat_ws("/", F.col("anchor").cast("string"), F.upper("letter"))
+        return block.join(mt.sized(self.middle.select("anchor", "lon", "lat")), "anchor").select("place_id", target.alias("target"), (F.col("lon") + step).alias("lon"), (F.col("lat") - step).alias("lat"))
+
+    def contain(self) -> DataFrame:
+        """The longest gazetteer word inside a name: looked up by runs of letters, so a name of any length is read once."""
+        held = mt.mentions(self.s.select("place_id", "name"), self.gazetteer.filter(F.length("word") >= WORD), "name", "word").filter("word <> name")
+        best = held.groupBy("place_id").agg(F.min(F.struct((-F.length("word")).alias("k"), "word", "lon", "lat")).alias("m"))
+        return self.at_word(best.select("place_id", "m.word", "m.lon", "m.lat"))
+
+    def anchor_member(self) -> DataFrame:
+        longest = self.first.agg(F.max(F.length("word"))).first()[0] or 0
+        n = F.least(F.length("name"), F.lit(longest))
+        heads = self.s.select("place_id", "name").filter(n >= ANCHOR).withColumn("word", F.explode(F.transform(F.sequence(F.lit(ANCHOR), n), lambda k: F.col("name").substr(F.lit(1), k))))
+        by_name = heads.join(mt.sized(self.first), "word").select("place_id", "anchor")
+        backed = self.in_text.join(self.together, "name", "left").join(self.has(BASE).withColumn("base", F.lit(True)), "place_id", "left").filter("together is not null or base")
+        return self.at_anchor(by_name.union(backed.select("place_id", "anchor")).groupBy("place_id").agg(F.min("anchor").alias("anchor")))
+
+    def desc_place(self) -> DataFrame:
+        first = self.said.join(mt.sized(areas(self.gazetteer)), "word").groupBy("place_id").agg(F.min(F.struct("pos", "word", "lon", "lat")).alias("m"))
+        return self.at_word(first.select("place_id", "m.word", "m.lon", "m.lat"))
+
+    def district(self) -> DataFrame:
+        return self.at_word(covered(self.s, areas(self.gazetteer)))
+
+
+def rules(spark, d, *wanted: str) -> dict[str, DataFrame]:
+    """``place_id, target, lon, lat`` of each rule that is asked for, or of all."""
+    e = Evidence(spark, d)
+    return {rule: getattr(e, rule.lower().replace("-", "_"))() for rule in wanted or [r for r, _ in RULES]}
 
 
 def covered(s: DataFrame, a: DataFrame) -> DataFrame:
@@ -176,7 +214,7 @@ for _rank, (_rule, _) in enumerate(RULES, 1):
 
     @query(f"e8_rule_{_rule.lower().replace('-', '_')}", EVIDENCE + f" SELECT place_id, target, {_POINT} FROM c WHERE rank = {_rank}")
     def _one(spark, d, k=_rule):
-        return rules(spark, d)[k].select("place_id", "target", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+        return rules(spark, d, k)[k].select("place_id", "target", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 @query("e15_e16_best_and_apply", EVIDENCE + f", b AS (SELECT *, {_RULE} AS rule, CAST({_CONF} AS DOUBLE) AS conf FROM c QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY {_CONF} DESC, rank) = 1) SELECT doc_id AS place_id, coalesce(rule, 'NONE') AS rule, CASE WHEN b.conf >= 0.7 AND b.lon BETWEEN 113.9 AND 114.4 THEN 'approximate' ELSE 'fictional' END AS precision FROM documents LEFT JOIN b ON b.place_id = doc_id")
@@ -206,8 +244,8 @@ _CUE = f"(^|[^a-z])({CUES})([^a-z]|$)"
 )
 def e12(spark, d):
     """Places whose text names a resolved place near a spatial cue, else whose name holds a name of exactly one anchor."""
-    s = subjects(spark, d)
-    resolved = rules(spark, d)["NAME-PLACE"].select(F.col("target").alias("word")).distinct()
+    s = kept(subjects(spark, d), "subjects")
+    resolved = rules(spark, d, "NAME-PLACE")["NAME-PLACE"].select(F.col("target").alias("word")).distinct()
     said = s.select("place_id", "name", F.explode(F.array_distinct("words")).alias("word")).join(mt.sized(resolved), "word").filter("name <> word")
     text = read(spark, d, "documents").select(F.col("doc_id").alias("place_id"), F.translate("text", UPPER, LOWER).alias("t"))
     hit = said.groupBy("place_id").agg(F.collect_set("word").alias("found")).join(text, "place_id").select("place_id", "t", F.explode("found").alias("word"))
@@ -217,10 +255,7 @@ def e12(spark, d):
     one = hit.filter(around.rlike(_CUE)).groupBy("place_id").agg(F.min("word").alias("one"))
 
     tied = anchor_names(spark, d).groupBy("word").agg(F.min("anchor").cast("string").alias("target"), F.count_distinct("anchor").alias("n")).filter("n = 1").drop("n")
-    n = F.length("name")
-    parts = lambda i: F.transform(F.sequence(F.lit(ANCHOR), n - i + 1), lambda k: F.col("name").substr(i, k))
-    inner = s.select("place_id", "name").filter(n >= ANCHOR).withColumn("word", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n - ANCHOR + 1), parts)))))
-    two = inner.join(mt.sized(tied), "word").groupBy("place_id").agg(F.min("target").alias("two"))
+    two = mt.mentions(s.select("place_id", "name"), tied, "name", "word").groupBy("place_id").agg(F.min("target").alias("two"))
     return one.join(two, "place_id", "full").select("place_id", F.coalesce("one", "two").alias("target"), F.when(F.col("one").isNotNull(), 0.62).otherwise(0.55).alias("conf"))
 
 

@@ -171,3 +171,15 @@ def test_missing_and_repeated_texts_are_counted(spark, tmp_path):
     out = text.flagship(spark, str(tmp_path)).collect()
     assert [(r.n_docs, r.duplicates) for r in out] == [(40, 7 + 15)]
     assert len(text.t11(spark, str(tmp_path)).collect()) == 7 + 15
+
+
+def test_evidence_of_names_of_any_length(spark, tmp_path):
+    from placeweave.plans import evidence
+
+    texts = ["x" * 100_000 + "harbour in the north", "theharbourside in town", "harbour", "plain the words", "q" * 70_000]
+    spark.createDataFrame([(k, t, "en", f"s{k % 2}", 9) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "harbour lighthouse"), (2, "side")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = evidence.rules(spark, str(tmp_path), "CONTAIN")["CONTAIN"].collect()
+    assert {(r.place_id, r.target) for r in held} == {(0, "harbour"), (1, "harbour")}
+    assert {r.place_id for r in evidence.e8(spark, str(tmp_path)).collect()} >= {0, 1}
+    assert {(r.place_id, r.target) for r in evidence.e12(spark, str(tmp_path)).collect()} == set()
