@@ -97,5 +97,30 @@ def segments(df: DataFrame, key: str, col: str = "text", budget: int = 2000, sep
     return df.select(key, F.posexplode(whole).alias("segment_index", "segment"))
 
 
+def paragraph_segments(df: DataFrame, key: str, col: str = "text", budget: int = 2000, sep: str = "\n\n") -> DataFrame:
+    """``key, segment_index, segment``: texts within the budget are one segment; others are cut at paragraphs. Paragraphs
+    are joined while their characters, without separators, stay within the budget; whether the next one still fits is
+    asked with its whole length, and one beyond the budget is cut hard, its full pieces before its rest. The fold keeps places
+    in the text, so no text is copied until the segments are known."""
+    text = F.coalesce(F.col(col), F.lit(""))
+    none = F.lit(None).cast("int")
+    start = F.struct(F.array().cast("array<struct<s:int,n:int>>").alias("done"), none.alias("s"), none.alias("e"), F.lit(0).alias("size"), F.lit(0).alias("at"))
+
+    def merge(w, n):
+        flush = w["s"].isNotNull() & (w["size"] + n > budget)
+        cuts = F.when(n > budget, F.floor((n - 1) / budget).cast("int")).otherwise(0)
+        done = F.when(flush, F.array_append(w["done"], F.struct(w["s"].alias("s"), (w["e"] - w["s"]).alias("n")))).otherwise(w["done"])
+        pieces = F.transform(F.filter(F.sequence(F.lit(0), cuts), lambda i: i < cuts), lambda i: F.struct((w["at"] + i * budget).alias("s"), F.lit(budget).alias("n")))
+        first = F.when(flush | w["s"].isNull(), w["at"] + cuts * budget).otherwise(w["s"])
+        size = F.when(flush, 0).otherwise(w["size"]) + n - cuts * budget
+        return F.struct(F.concat(done, pieces).alias("done"), first.alias("s"), (w["at"] + n).alias("e"), size.alias("size"), (w["at"] + n + len(sep)).alias("at"))
+
+    last = lambda w: F.array_append(w["done"], F.struct(w["s"].alias("s"), (w["e"] - w["s"]).alias("n")))
+    long = F.aggregate(F.transform(F.split(text, sep, -1), F.length), start, merge, last)
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("n")))
+    cut = df.select(key, text.alias("_text"), F.posexplode(F.when(F.length(text) <= budget, whole).otherwise(long)).alias("segment_index", "_p"))
+    return cut.select(key, "segment_index", F.col("_text").substr(F.col("_p.s") + 1, F.col("_p.n")).alias("segment"))
+
+
 def apply_all(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p, ""), patterns, text)
