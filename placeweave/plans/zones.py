@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from placeweave.operators import anchoring as an
 from placeweave.operators import greedy
 from placeweave.operators import zones as zn
 from placeweave.operators.graph import kept
@@ -125,3 +126,52 @@ def w9(spark, d):
 def w9_all(spark, d):
     """As many labels of a name as the spacing leaves room for."""
     return greedy.spaced(_spots(spark, d), 0.1, 1_000_000).select(F.col("name").alias("seg"), "rank.place_id")
+
+
+# what is told of a place: where a second one is; every third has no such tale
+_TOLD = f"(SELECT n.*, CASE n.place_id % 3 WHEN 0 THEN 'stands within ' || q.name || ' by the road' WHEN 1 THEN 'seen far from ' || q.name || ', says a guide' ELSE 'nothing is known' END AS description, CASE n.place_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'approximate' ELSE 'district' END AS precision FROM {NAMED} n LEFT JOIN {NAMED} q ON q.place_id = n.place_id // 2 + 1)"
+_LONGEST = "{'l': length(parent), 'r': -rank}"
+_SURE, _BESIDE = 13, 8
+
+
+def told(spark, d):
+    n = kept(named(spark, d), "named")
+    q = n.select(F.col("place_id").alias("second"), F.col("name").alias("other"))
+    n = n.withColumn("second", F.floor(F.col("place_id") / 2) + 1).join(q, "second", "left")
+    k = F.col("place_id") % 3
+    tale = F.when(k == 0, F.concat(F.lit("stands within "), "other", F.lit(" by the road"))).when(k == 1, F.concat(F.lit("seen far from "), "other", F.lit(", says a guide"))).otherwise("nothing is known")
+    return n.drop("second").withColumn("description", tale).withColumn("precision", F.when(k == 0, "exact").when(k == 1, "approximate").otherwise("district"))
+
+
+_H = "CAST('0x' || substr(sha1(CAST(place_id AS VARCHAR)), 1, 8) AS BIGINT)"
+_R = f"(CASE WHEN parent IS NOT NULL THEN 90 ELSE 420 END * (0.45 + 0.55 * (({_H} >> 12) % 1000) / 1000))"
+_ANGLE = f"({_H} % 3600 / 3600::DOUBLE * (2 * pi()))"
+
+
+@query("e20_ring_anchoring", f"""WITH t AS MATERIALIZED (SELECT * FROM {_TOLD} x), l AS (SELECT * FROM t WHERE fictional), r AS (SELECT * FROM t WHERE NOT fictional), n AS (SELECT name AS parent, min(place_id) AS rank, arg_min(lon, place_id) AS plon, arg_min(lat, place_id) AS plat, arg_min(precision, place_id) AS pprec FROM r GROUP BY 1),
+ a AS (SELECT place_id, arg_max(parent, {_LONGEST}) AS parent, 'name' AS via FROM l JOIN n ON length(parent) >= 3 AND contains(name, parent) AND parent <> name GROUP BY 1),
+ b AS (SELECT place_id, arg_max(parent, {_LONGEST}) AS parent, 'description' AS via FROM (SELECT l.place_id, parent, rank, description, instr(description, parent) AS p FROM l JOIN n ON length(parent) >= 2 AND contains(description, parent) WHERE place_id NOT IN (SELECT place_id FROM a)) x
+  WHERE length(parent) >= {_SURE} OR contains(substr(description, greatest(1, p - {_BESIDE}), p + length(parent) + {_BESIDE} - greatest(1, p - {_BESIDE})), 'within') GROUP BY 1),
+ c AS (SELECT unnest(chapters) AS ch, lon, lat FROM r WHERE lon BETWEEN 114.0 AND 114.3 AND lat BETWEEN 22.25 AND 22.45), m AS (SELECT place_id, avg(c.lon) AS mx, avg(c.lat) AS my FROM (SELECT place_id, unnest(chapters) AS ch FROM l) x JOIN c USING (ch) GROUP BY 1),
+ j AS (SELECT l.place_id, f.parent, via, plon, plat, pprec, mx, my FROM l LEFT JOIN (SELECT * FROM a UNION ALL SELECT * FROM b) f USING (place_id) LEFT JOIN n USING (parent) LEFT JOIN m USING (place_id))
+ SELECT place_id, CASE WHEN parent IS NOT NULL THEN 'parent-' || via WHEN mx IS NOT NULL THEN 'chapter' ELSE 'default' END AS source, parent, coalesce(pprec, 'fictional') AS precision,
+ round(coalesce(plon, mx, 114.2) + {_R} * cos({_ANGLE}) / (0.9248 * 111320.0), 6) AS lon, round(coalesce(plat, my, 22.3) + {_R} * sin({_ANGLE}) / 110570.0, 6) AS lat FROM j""")
+def e20_rings(spark, d):
+    """Fictional places beside their parent, else round the middle of their chapters' places, else round a centre."""
+    t = kept(told(spark, d), "told")
+    region = F.col("lon").between(114.0, 114.3) & F.col("lat").between(22.25, 22.45)
+    out = an.anchored(t.filter("fictional"), t.filter("not fictional"), region, (114.2, 22.3), 0.9248 * 111320.0, 110570.0, sure=_SURE, cues=("within",), near=_BESIDE)
+    return out.select("place_id", "source", "parent", "precision", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+_PARENT = f"(SELECT name AS parent, min(place_id) AS rank FROM {NAMED} n WHERE NOT fictional GROUP BY 1)"
+
+
+@query("j12_parents", f"""WITH t AS MATERIALIZED (SELECT * FROM {_TOLD} x), n AS (SELECT * FROM {_PARENT} y), a AS (SELECT place_id, arg_max(parent, {_LONGEST}) AS parent, 'name' AS via FROM t JOIN n ON length(parent) >= 3 AND contains(name, parent) AND parent <> name GROUP BY 1),
+ b AS (SELECT place_id, arg_max(parent, {_LONGEST}) AS parent, 'description' AS via FROM (SELECT place_id, parent, rank, description, instr(description, parent) AS p FROM t JOIN n ON contains(description, parent) WHERE place_id NOT IN (SELECT place_id FROM a)) x
+  WHERE length(parent) >= {_SURE} OR contains(substr(description, greatest(1, p - {_BESIDE}), p + length(parent) + {_BESIDE} - greatest(1, p - {_BESIDE})), 'within') GROUP BY 1) SELECT * FROM a UNION ALL SELECT * FROM b""")
+def j12_parents(spark, d):
+    """The known place that holds another: by its name, else by its description."""
+    t = kept(told(spark, d), "told")
+    known = t.filter("not fictional").groupBy("name").agg(F.min("place_id").alias("rank"))
+    return an.parents(t, known, sure=_SURE, cues=("within",), near=_BESIDE)
