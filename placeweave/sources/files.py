@@ -92,8 +92,9 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def read_rings(spark: SparkSession, path: str) -> DataFrame:
-    """Outer rings of Polygon, MultiPolygon and GeometryCollection files: ``ring_id, points`` (lon, lat pairs)."""
+def read_rings(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
+    """Outer rings of Polygon, MultiPolygon and GeometryCollection files: ``ring_id, points`` (lon, lat pairs), and the
+    file's path in the column ``file`` if it is named."""
     pair = "array<array<double>>"
     df = spark.read.text(path, wholetext=True)
     kind = F.get_json_object("value", "$.type")
@@ -102,4 +103,5 @@ def read_rings(spark: SparkSession, path: str) -> DataFrame:
     parts = F.from_json(F.get_json_object("value", "$.geometries"), f"array<struct<type:string, coordinates:array<{pair}>>>")
     inner = F.transform(F.filter(parts, lambda g: g["type"] == "Polygon"), lambda g: g["coordinates"])
     polygons = F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many).otherwise(inner)
-    return df.select(F.posexplode(F.transform(polygons, lambda p: p[0])).alias("ring_id", "points"))
+    name = [F.col("_metadata.file_path").alias(file)] if file else []
+    return df.select(*name, F.posexplode(F.transform(F.filter(polygons, lambda p: F.size(p) > 0), lambda p: p[0])).alias("ring_id", "points"))

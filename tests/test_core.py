@@ -183,3 +183,11 @@ def test_evidence_of_names_of_any_length(spark, tmp_path):
     assert {(r.place_id, r.target) for r in held} == {(0, "harbour"), (1, "harbour")}
     assert {r.place_id for r in evidence.e8(spark, str(tmp_path)).collect()} >= {0, 1}
     assert {(r.place_id, r.target) for r in evidence.e12(spark, str(tmp_path)).collect()} == set()
+
+
+def test_empty_polygons_have_no_ring(spark, tmp_path):
+    ring = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]]
+    for name, shape in {"a": {"type": "Polygon", "coordinates": []}, "b": {"type": "MultiPolygon", "coordinates": [[], [ring, ring]]}, "c": {"type": "GeometryCollection", "geometries": []}}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(shape))
+    got = files.read_rings(spark, str(tmp_path / "*.json")).collect()
+    assert [(r.ring_id, [list(p) for p in r.points]) for r in got] == [(0, ring)]
