@@ -28,20 +28,35 @@ def kept(df: DataFrame, label: str = "graph") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Parts into which the neighbours of one node are dealt when they meet its smallest neighbour.
+PARTS = 8
+
+
+def _least(edges: DataFrame, node: str, other: str) -> DataFrame:
+    """Each edge with the smallest node ``m`` around its ``node``; a hub's edges are dealt over PARTS."""
+    least = edges.groupBy(node).agg(F.least(F.col(node), F.min(other)).alias("m"))
+    dealt = edges.withColumn("_part", F.pmod(F.xxhash64(other), F.lit(PARTS)).cast("int"))
+    return dealt.join(least.withColumn("_part", F.explode(F.array(*[F.lit(k) for k in range(PARTS)]))), [node, "_part"]).drop("_part")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (its smallest node) of undirected edges ``a, b``: each node takes the smallest label
-    around it, then its label's label, until nothing changes."""
-    both = kept(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    """``node, component`` (its smallest node) of undirected edges ``a, b``. Alternating stars: each node hangs its larger
+    neighbours on the smallest node around it, then its smaller neighbours and itself, until every node hangs on its
+    component's smallest. Rounds grow with the logarithm of a component's size, a round's edges never outnumber the first ones."""
+    now = kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    mark = None
     while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b", "label": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = new.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        new = kept(new.join(jump, "label", "left").select("node", F.least("label", "jump").alias("label"), "old"), "labels")
-        changed = new.filter("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == mark:
+            break
+        mark = state
+        both = now.select("a", "b").union(now.select("b", "a"))  # large star: over all neighbours
+        large = _least(both, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = _least(large, "a", "b")  # small star: over the smaller ones
+        small = least.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).filter("a <> b").distinct()
+        now = kept(small, "edges")
+    return nodes.join(now.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
 
 
 def closure(links: DataFrame) -> DataFrame:
@@ -60,19 +75,13 @@ def closure(links: DataFrame) -> DataFrame:
 
 
 def _on_cycle(step: DataFrame) -> DataFrame:
-    """Nodes that no trimming of nodes without predecessors reaches."""
-    now = step
-    while True:
-        rest = kept(now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi"), "cycle")
-        if rest.count() == now.count():
-            break
-        now = rest
-    # what is left has predecessors all the way round; drop chains that only leave from cycles
-    while True:
-        rest = kept(now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "cycle")
-        if rest.count() == now.count():
-            return rest.select("a")
-        now = rest
+    """Nodes of a functional map that stand on a cycle: those that are still reached after as many steps as there are nodes.
+    The map is doubled that often, and what it reaches is walked back round each cycle by its own image."""
+    now = step.select("a", "b")
+    for _ in range(step.count().bit_length()):  # 2^k steps, more than the longest way into a cycle
+        nxt = now.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        now = kept(now.join(nxt, "b").select("a", F.col("c").alias("b")), "cycle")  # who runs out of the map drops out
+    return now.select(F.col("b").alias("a")).distinct()
 
 
 def redirect(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -56,9 +56,9 @@ _JSON = json.JSONDecoder()
 
 def first_json(text: str | None) -> str | None:
     """The first array that parses, else the first object that parses, anywhere in free text."""
-    for sign in "[{" if text else "":
-        at = text.find(sign)
-        while at >= 0:
+    for sign, close in ("[]", "{}") if text else ():
+        at, last = text.find(sign), text.rfind(close)
+        while 0 <= at < last:  # nothing closes behind the last closing sign
             try:
                 return text[at : _JSON.raw_decode(text, at)[1]]
             except (ValueError, RecursionError):
