@@ -96,3 +96,20 @@ def spaced(points: DataFrame, spacing: float, most: int) -> DataFrame:
         return points.select("name", "rank").limit(0)
     return taken.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("rank"))).filter(F.col("k") <= most).select("name", "rank")
 
+
+
+def unoccupied(items: DataFrame) -> DataFrame:
+    """Walking the items (``node, rank, cells``; ranks unique) in order, an item is taken unless one of its cells is occupied
+    by a taken one, and then occupies them: the ``node``s taken. An item is taken at once if it comes first in all of its cells;
+    whoever shares a cell with it is out. Items only meet their cells, never each other. Without cells an item is taken."""
+    taken = items.filter(F.coalesce(F.size("cells"), F.lit(0)) == 0).select("node")
+    free = kept(items.select("node", "rank", F.explode(F.array_distinct("cells")).alias("cell")), "free")
+    while free.limit(1).count():
+        first = free.groupBy("cell").agg(F.min("rank").alias("first"))
+        met = kept(salted(free, first, ["cell"], F.col("node")), "met")
+        won = kept(met.groupBy("node").agg(F.bool_and(F.col("rank") == F.col("first")).alias("won")).filter("won").select("node"), "won")
+        full = free.join(won, "node", "left_semi").select("cell").distinct()
+        out = salted(free, full, ["cell"], F.col("node")).select("node").distinct()
+        free = kept(free.join(out, "node", "left_anti"), "free")
+        taken = taken.union(won)
+    return taken

@@ -11,17 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import kept
 from .match import salted
+from .numbering import numbered
 
 
 def edges(rings: DataFrame) -> DataFrame:
     """``ring, x1, y1, x2, y2`` of closed rings from their vertices ``ring, pos, lon, lat``. A last vertex equal to the
-    first adds an edge of no length, which crosses nothing. Rings of fewer than three vertices enclose nothing."""
-    order = Window.partitionBy("ring").orderBy("pos")
-    whole = Window.partitionBy("ring").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nxt = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(whole))
-    v = rings.filter("lon is not null and lat is not null").withColumn("n", F.count("*").over(Window.partitionBy("ring")))
-    return v.select("ring", "n", F.col("lon").alias("x1"), F.col("lat").alias("y1"), nxt("lon").alias("x2"), nxt("lat").alias("y2")).filter("n >= 3").drop("n")
+    first adds an edge of no length, which crosses nothing. Rings of fewer than three vertices enclose nothing. Vertices are
+    numbered by ranges and meet their followers by number, so a ring of any size is spread over tasks."""
+    v = numbered(rings.filter("lon is not null and lat is not null").select("ring", "pos", "lon", "lat"), ["pos", "lon", "lat"], by=["ring"], name="k")
+    v = kept(v.select("ring", "k", "lon", "lat"), "vertices")
+    nxt = v.select("ring", (F.col("k") - 1).alias("k"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    first = v.groupBy("ring").agg(F.count("*").alias("n"), F.min_by("lon", "k").alias("x0"), F.min_by("lat", "k").alias("y0")).filter("n >= 3")
+    e = salted(v.join(nxt, ["ring", "k"], "left"), first, ["ring"], F.col("k"))
+    return e.select("ring", F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.coalesce("x2", "x0").alias("x2"), F.coalesce("y2", "y0").alias("y2"))
 
 
 def cover(sides: DataFrame, cell: float) -> DataFrame:

@@ -128,7 +128,11 @@ def w10(spark, d):
     return mt.best(places(spark, d).withColumn("x", F.floor(F.col("lon") * 100)).withColumn("y", F.floor(F.col("lat") * 100)), ["x", "y"], [F.col("nation"), F.col("name")]).select("place_id")
 
 
-@query("g7_nearest_pairing")
+# all pairs in order of their distance, each taken if both ends are free
+_PAIRED = f"(SELECT a.anchor_id AS a, b.anchor_id AS b, row_number() OVER (ORDER BY {sql_metres('a', 'b')}, a.anchor_id, b.anchor_id) AS rn FROM {ANCHORS} a JOIN {ANCHORS} b ON a.anchor_id < b.anchor_id AND {sql_metres('a', 'b')} <= 3000)"
+
+
+@query("g7_nearest_pairing", f"WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {_PAIRED} x), w(rn, a, b, used, won) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), false UNION ALL SELECT p.rn, p.a, p.b, CASE WHEN list_has_any(used, [p.a, p.b]) THEN used ELSE list_concat(used, [p.a, p.b]) END, NOT list_has_any(used, [p.a, p.b]) FROM w JOIN p ON p.rn = w.rn + 1) SELECT a, b FROM w WHERE won")
 def g7(spark, d):
     """Open ends paired in rounds of mutual nearest neighbours within a radius, each used once."""
     from placeweave.operators.graph import kept

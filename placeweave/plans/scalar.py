@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeweave.functions import names as nm
+from placeweave.operators.polygons import edges
 
 from .base import LAT0, LON0, PLACES, SPAN_LAT, SPAN_LON, STORY, metres, places, query, read, sql_metres, story
 
@@ -134,10 +135,8 @@ def f26(spark, d):
 
 @query("f27_shoelace_area", f"WITH v AS (SELECT nation, place_id, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, first_value(lon) OVER w AS lon0, first_value(lat) OVER w AS lat0 FROM {PLACES} p WINDOW w AS (PARTITION BY nation ORDER BY place_id)) SELECT nation, round(abs(sum(lon * coalesce(lat2, lat0) - coalesce(lon2, lon0) * lat)) / 2, 6) AS area FROM v GROUP BY nation")
 def f27(spark, d):
-    ring = places(spark, d).groupBy("nation").agg(F.array_sort(F.collect_list(F.struct("place_id", "lon", "lat"))).alias("v"))
-    turned = F.concat(F.slice("v", 2, F.size("v")), F.slice("v", 1, 1))
-    cross = F.zip_with("v", turned, lambda a, b: a["lon"] * b["lat"] - b["lon"] * a["lat"])
-    return ring.select("nation", F.round(F.abs(F.aggregate(cross, F.lit(0.0), lambda s, x: s + x)) / 2, 6).alias("area"))
+    e = edges(places(spark, d).select(F.col("nation").alias("ring"), F.col("place_id").alias("pos"), "lon", "lat"))
+    return e.groupBy(F.col("ring").alias("nation")).agg(F.round(F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2, 6).alias("area"))
 
 
 @query("f28_bounds", f"SELECT place_id, lon BETWEEN 114.0 AND 114.3 AND lat BETWEEN 22.25 AND 22.45 AS in_region, lon BETWEEN 113.9 AND 114.4 AS in_bounds FROM {PLACES} p")

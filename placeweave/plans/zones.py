@@ -175,3 +175,17 @@ def j12_parents(spark, d):
     t = kept(told(spark, d), "told")
     known = t.filter("not fictional").groupBy("name").agg(F.min("place_id").alias("rank"))
     return an.parents(t, known, sure=_SURE, cues=("within",), near=_BESIDE)
+
+
+# a label's box: as wide as its name
+_BOXED = f"(SELECT place_id, row_number() OVER (ORDER BY nation % 2, name, place_id) AS rn, list_distinct(flatten(list_transform(range(CAST(floor((lon - 0.002 * (length(name) % 7)) * 100) AS BIGINT), CAST(floor((lon + 0.002 * (length(name) % 7)) * 100) AS BIGINT) + 1), lambda x: list_transform(range(CAST(floor((lat - 0.004) * 100) AS BIGINT), CAST(floor((lat + 0.004) * 100) AS BIGINT) + 1), lambda y: x * 100000 + y)))) AS cells FROM {PLACES} p)"
+
+
+@query("w10_label_occupancy", f"WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM {_BOXED} b), w(rn, place_id, used, won) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), false UNION ALL SELECT c.rn, c.place_id, CASE WHEN list_has_any(used, cells) THEN used ELSE list_concat(used, cells) END, NOT list_has_any(used, cells) FROM w JOIN c ON c.rn = w.rn + 1) SELECT place_id FROM w WHERE won")
+def w10_occupancy(spark, d):
+    """Labels in order of importance, each placed unless a cell of its box is taken."""
+    half = 0.002 * (F.length("name") % 7)
+    side = lambda a, b: F.sequence(F.floor(a * 100), F.floor(b * 100))
+    cells = F.flatten(F.transform(side(F.col("lon") - half, F.col("lon") + half), lambda x: F.transform(side(F.col("lat") - 0.004, F.col("lat") + 0.004), lambda y: x * 100000 + y)))
+    p = places(spark, d)
+    return greedy.unoccupied(p.select(F.col("place_id").alias("node"), F.struct((F.col("nation") % 2).alias("minor"), "name", "place_id").alias("rank"), cells.alias("cells"))).select(F.col("node").alias("place_id"))

@@ -41,19 +41,32 @@ def complete_versions(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(x.getPath().getParent().getName()[1:]) for x in found)
 
 
+def _first_version(spark: SparkSession, folder: str, checkpoint: str) -> int:
+    """The version that a stream's first batch writes: behind those that ``folder`` has when the checkpoint is new; it is
+    noted beside the checkpoint, so a restart finds the same number."""
+    note = f"{checkpoint.rstrip('/')}-first-version"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{note}/_SUCCESS")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return int(spark.read.text(note).first()["value"])
+    first = max(complete_versions(spark, folder), default=-1) + 1
+    spark.range(1).select(F.lit(str(first)).alias("value")).write.mode("overwrite").text(note)
+    return first
+
+
 def upsert_available(df: DataFrame, key: str, order: str, folder: str, checkpoint: str) -> str:
     """Newest-wins table, a new version per batch under ``folder``. A version counts once its write has succeeded, and
-    each batch starts from the last such version before it, so a restart goes on where the table stood. Returns the path
-    of the last version, or an empty string."""
+    each batch starts from the last such version before it, so a restart goes on where the table stood, and a new checkpoint
+    over an old table goes on behind its last version. Returns the path of the last version, or an empty string."""
     spark: SparkSession = df.sparkSession
+    first = _first_version(spark, folder, checkpoint)
 
     def merge(batch: DataFrame, epoch: int) -> None:
         new = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        before = [v for v in complete_versions(spark, folder) if v < epoch]
+        before = [v for v in complete_versions(spark, folder) if v < first + epoch]
         if before:
             both = spark.read.parquet(f"{folder}/v{before[-1]}").unionByName(new)
             new = both.groupBy(key).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
-        new.write.mode("overwrite").parquet(f"{folder}/v{epoch}")
+        new.write.mode("overwrite").parquet(f"{folder}/v{first + epoch}")
 
     df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     done = complete_versions(spark, folder)

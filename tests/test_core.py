@@ -151,9 +151,9 @@ def test_upserts_go_on_after_a_restart(spark, tmp_path):
             (tmp_path / "in").mkdir(exist_ok=True)
             f.rename(tmp_path / "in" / f"{name}.json")
 
-    def run():
+    def run(checkpoint="checkpoint"):
         stream = spark.readStream.schema("k long, v long, t long").json(f"{tmp_path}/in")
-        return jobs.upsert_available(stream, "k", "t", f"{tmp_path}/table", f"{tmp_path}/checkpoint")
+        return jobs.upsert_available(stream, "k", "t", f"{tmp_path}/table", f"{tmp_path}/{checkpoint}")
 
     put("a", [(1, 10, 1), (2, 20, 1)])
     run()
@@ -161,6 +161,11 @@ def test_upserts_go_on_after_a_restart(spark, tmp_path):
     last = run()  # a new call knows only what is on disk
     assert sorted((r.k, r.v) for r in spark.read.parquet(last).collect()) == [(1, 10), (2, 21), (3, 30)]
     assert run() == last
+    for name in ("a", "b"):
+        (tmp_path / "in" / f"{name}.json").unlink()
+    put("c", [(3, 31, 3)])
+    newest = run("other")  # a new checkpoint goes on behind the table's last version
+    assert newest > last and sorted((r.k, r.v) for r in spark.read.parquet(newest).collect()) == [(1, 10), (2, 21), (3, 31)]
 
 
 def test_missing_and_repeated_texts_are_counted(spark, tmp_path):

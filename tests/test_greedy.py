@@ -54,3 +54,14 @@ def test_spaced(spark, most):
     df = spark.createDataFrame(points, "name string, rank long, x double, y double")
     assert {tuple(r) for r in greedy.spaced(df, 0.5, most).collect()} == want
     assert greedy.spaced(df.limit(0), 0.5, most).count() == 0
+
+
+def test_unoccupied(spark):
+    rng = random.Random(6)
+    items = [(k, rank, [rng.randrange(40) for _ in range(rng.randint(0, 4))]) for k, rank in enumerate(rng.sample(range(500), 120))] + [(900, 900, None)]
+    used, want = set(), set()
+    for k, _, cells in sorted(items, key=lambda x: x[1]):
+        if not used & set(cells or []):
+            want.add(k)
+            used |= set(cells or [])
+    assert {r.node for r in greedy.unoccupied(spark.createDataFrame(items, "node long, rank long, cells array<int>")).collect()} == want
