@@ -55,10 +55,15 @@ def mentions(texts: DataFrame, names: DataFrame, text: str, name: str) -> DataFr
     keys = parts.join(frequent, "_g", "left").groupBy("_name").agg(F.count_if(F.col("_n").isNull()).alias("_none"), F.min_by("_g", F.struct("_n", "_g")).alias("_g")).filter("_none = 0")
     keys = kept(keys.select("_name", "_g"), "keys")
     found = runs.join(sized(keys), "_g").select("_h", "_name")
-    held = read.join(found, "_h").filter(F.contains("_text", "_name")).groupBy("_h").agg(F.collect_set("_name").alias("_names"))
-    by = F.xxhash64(*[F.col(f"`{c}`") for c, t in texts.dtypes if not t.startswith(("map", "variant"))])
-    rows = salted(texts.withColumn("_h", F.md5(text)), held, ["_h"], by).withColumn("_name", F.explode("_names")).drop("_h", "_names")
-    return rows.join(names, F.col("_name") == names[name]).drop("_name")
+    held = kept(read.join(found, "_h").filter(F.contains("_text", "_name")).select("_h", "_name").distinct(), "held")
+    rows = texts.withColumn("_h", F.md5(text))
+    if held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # few texts, however often they occur
+        rows = rows.join(F.broadcast(held), "_h").drop("_h")
+    else:
+        by = F.xxhash64(*[F.col(f"`{c}`") for c, t in texts.dtypes if not t.startswith(("map", "variant"))])
+        lists = held.groupBy("_h").agg(F.collect_set("_name").alias("_names"))
+        rows = salted(rows, lists, ["_h"], by).withColumn("_name", F.explode("_names")).drop("_h", "_names")
+    return rows.join(sized(names), F.col("_name") == names[name]).drop("_name")
 
 
 #: Parts into which the rows of a key are dealt where one key may hold a large share of them.

@@ -57,42 +57,63 @@ def diameter(corners: np.ndarray, scale: tuple[float, float]) -> float:
     return best
 
 
+_CORNERS = T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
+#: Points below which a group is handed on as it is.
+SMALL = 16
+
+
+@F.pandas_udf(_CORNERS)
+def _hulled(lists: pd.Series) -> pd.Series:
+    def one(points) -> list[dict]:
+        own = hull(np.array([(p["lon"], p["lat"]) for p in points]))
+        return [{"lon": x, "lat": y} for x, y in own.tolist()]
+
+    return lists.map(one)
+
+
 def hulls(points: DataFrame, by: str) -> DataFrame:
     """``by, lon, lat``: the corners of each group's hull. Tasks hand on the hulls of what they have read, which meet in
     parts and then as a whole, so no group is gathered in one task."""
     kind = T.StructType([points.schema[by], T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
     plain = points.select(by, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).filter("lon is not null and lat is not null")
 
-    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = hull(pdf[["lon", "lat"]].to_numpy())
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(own), "lon": own[:, 0], "lat": own[:, 1]})
+    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = pdf.groupby(by, dropna=False, sort=False)[by].transform("size")
+        out = [pdf[size < SMALL]]
+        for _, own in pdf[size >= SMALL].groupby(by, dropna=False, sort=False):
+            corners = hull(own[["lon", "lat"]].to_numpy())
+            out.append(pd.DataFrame({by: [own[by].iloc[0]] * len(corners), "lon": corners[:, 0], "lat": corners[:, 1]}))
+        return pd.concat(out)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
-            held += [corners(own) for _, own in pdf.groupby(by, dropna=False, sort=False)]
+            held.append(reduced(pdf))
             if sum(map(len, held)) > HELD:
-                held = [corners(own) for _, own in pd.concat(held).groupby(by, dropna=False, sort=False)]
-                if sum(map(len, held)) > HELD // 2:
-                    yield pd.concat(held)
-                    held = []
+                held = [reduced(pd.concat(held))]
+                if len(held[0]) > HELD // 2:
+                    yield held.pop()
         if held:
-            yield from (corners(own) for _, own in pd.concat(held).groupby(by, dropna=False, sort=False))
+            yield reduced(pd.concat(held))
+
+    def met(rows: DataFrame, *keys: str) -> DataFrame:
+        lists = rows.groupBy(*keys).agg(F.collect_list(F.struct("lon", "lat")).alias("p"))
+        return lists.select(by, F.explode(_hulled("p")).alias("p")).select(by, "p.lon", "p.lat")
 
     parts = plain.mapInPandas(partial, kind).withColumn("_part", F.pmod(F.xxhash64("lon", "lat"), F.lit(PARTS)))
-    parts = parts.groupBy(by, "_part").applyInPandas(lambda key, pdf: corners(pdf[[by, "lon", "lat"]]), kind)
-    return parts.groupBy(by).applyInPandas(lambda key, pdf: corners(pdf), kind)
+    return met(met(parts, by, "_part"), by)
 
 
 def spreads(corners: DataFrame, by: str, scale: tuple[float, float]) -> DataFrame:
     """``by, corners, spread``: number of corners and largest distance, from hulls."""
-    kind = T.StructType([corners.schema[by], T.StructField("corners", T.LongType()), T.StructField("spread", T.DoubleType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = hull(pdf[["lon", "lat"]].to_numpy())
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "corners": [len(own)], "spread": [diameter(own, scale)]})
+    @F.pandas_udf("corners long, spread double")
+    def measured(lists: pd.Series) -> pd.DataFrame:
+        own = [hull(np.array([(p["lon"], p["lat"]) for p in x])) for x in lists]
+        return pd.DataFrame({"corners": [len(x) for x in own], "spread": [diameter(x, scale) for x in own]})
 
-    return corners.groupBy(by).applyInPandas(run, kind)
+    lists = corners.groupBy(by).agg(F.collect_list(F.struct("lon", "lat")).alias("p"))
+    return lists.select(by, measured("p").alias("m")).select(by, "m.corners", "m.spread")
 
 
 def chapter_clusters(candidates: DataFrame, anchors: DataFrame, scale: tuple[float, float], most_m: float = 500.0, top: float = 0.72, fall: float = 0.17) -> DataFrame:
