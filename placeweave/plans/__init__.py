@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "scalar", "match", "resolve", "evidence", "aggregate", "geo", "zones", "regions", "clusters", "tiers", "pages", "filed", "release", "exact", "views", "gates", "streams")
+MODULES = ("text", "scalar", "match", "resolve", "evidence", "aggregate", "geo", "zones", "regions", "clusters", "tiers", "pages", "filed", "release", "exact", "chronicle", "views", "gates", "streams")
 
 
 def load():
