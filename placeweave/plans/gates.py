@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from placeweave.operators import match as mt
 from placeweave.operators.rules import Rule, violations
 
 from .base import STORY, query, read, story
@@ -58,5 +59,5 @@ def q7(spark, d):
 @query("q8_tier_rules", "WITH t AS (SELECT c_nationkey AS id, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1) SELECT a.id, count(*) FILTER (b.lo <= a.lo AND b.hi >= a.hi) AS inside FROM t a JOIN t b ON a.id <> b.id GROUP BY a.id")
 def q8(spark, d):
     t = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
-    other = F.broadcast(t.select(F.col("id").alias("oid"), F.col("lo").alias("olo"), F.col("hi").alias("ohi")))  # one row per nation
+    other = mt.sized(t.select(F.col("id").alias("oid"), F.col("lo").alias("olo"), F.col("hi").alias("ohi")))  # one row per nation
     return t.join(other, F.col("id") != F.col("oid")).groupBy("id").agg(F.count_if((F.col("olo") <= F.col("lo")) & (F.col("ohi") >= F.col("hi"))).alias("inside"))

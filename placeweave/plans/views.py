@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from placeweave.operators.match import best
+from placeweave.operators.match import best, sized
 from placeweave.sources import files as fl
 
 from .base import PLACES, STORY, places, query, read, story
@@ -77,7 +77,7 @@ def s8(spark, d):
 
 @query("s10_report_document", "SELECT r_name, string_agg(n_name, chr(10) ORDER BY n_nationkey) AS body FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
 def s10(spark, d):
-    x = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
+    x = read(spark, d, "nation").join(sized(read(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
     return x.groupBy("r_name").agg(F.expr("listagg(n_name, '\\n') within group (order by n_nationkey)").alias("body"))
 
 
