@@ -15,7 +15,6 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
-from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -34,8 +33,8 @@ SAMPLE_PER_CLASS = 2000
 SAMPLE_CHARS = 8_000
 EPOCHS, RATE, KEEP = 70, 0.5, 0.8
 CACHE_WORDS = 400_000
-#: Letters of a token that counts as one word; letters of the parts of a longer one, and from one part to the next.
-LONGEST, PART, STEP = 64, 16, 8
+#: Letters of a word's parts, and from one part to the next.
+PART, STEP = 16, 8
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -44,19 +43,17 @@ def letters_of(token: str) -> str:
 
 
 def tokens_of(text: str) -> list[str]:
-    """A text's tokens between white space. One of more than LONGEST letters is split at its marks and digits; what is
-    still longer, as in scripts without spaces, is dealt into overlapping parts. No letter is left out."""
+    """A text's tokens between white space. Of each, the letters are dealt into parts of PART letters that overlap by
+    PART - STEP, whatever its length; a token of PART signs or fewer is a single part as it is. No letter is left out."""
     own = text.split()
-    if max(map(len, own), default=0) <= LONGEST:
+    long = {t for t in own if len(t) > PART}
+    if not long:
         return own
-    out = []
-    for token in own:
-        if len(token) <= LONGEST or len(letters_of(token)) <= LONGEST:
-            out.append(token)
-            continue
-        for run in "".join(c if c.isalpha() or category(c)[0] == "M" else " " for c in token).split():
-            out += [run] if len(run) <= LONGEST else [run[k : k + PART] for k in range(0, len(run) - PART + STEP, STEP)]
-    return out
+    parts = {}
+    for token in long:
+        letters = _NOT_LETTERS.sub("", token)
+        parts[token] = [letters[k : k + PART] for k in range(0, max(1, len(letters) - PART + STEP), STEP)]
+    return [p for t in own for p in (parts[t] if t in long else (t,))]
 
 
 def subwords(letters: str) -> list[str]:

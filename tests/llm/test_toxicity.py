@@ -44,14 +44,19 @@ def test_one_class_only():
     assert toxicity.Scorer(model.table(), model.offset()).score("x") < 0.5
 
 
-def test_words_behind_64_letters_are_scored():
+def test_long_tokens_are_dealt_by_one_rule():
     texts, y = fixture()
     model = toxicity.train(texts, y)
     scorer = toxicity.Scorer(model.table(), model.offset())
     clean = ["thetion", "reing", "stion", "anly", "oned", "eres"] * 4
     for mark in ("", ",", "_", "1"):
         assert scorer.score(mark.join(clean)) < 0.5 < scorer.score(mark.join(clean + ["gruffelwort", "snarkbane"]))
-    for text in ("\u4e00\u4e8c\u4e09" * 50, "\u0e01\u0e34\u0e02" * 60, "x" * 65, "a,b" * 70):
+    for n in range(1, 140):  # one letter more changes the parts at the end only
+        parts = toxicity.tokens_of("".join(chr(0x4E00 + k) for k in range(n)))
+        assert all(len(p) == toxicity.PART for p in parts[:-1]) and 0 < len(parts[-1]) <= toxicity.PART
+        assert all(p[toxicity.STEP :] == q[: toxicity.PART - toxicity.STEP] for p, q in zip(parts, parts[1:]))
+        assert parts[0] + "".join(q[toxicity.PART - toxicity.STEP :] for q in parts[1:]) == "".join(chr(0x4E00 + k) for k in range(n))
+    for text in ("\u4e00\u4e8c\u4e09" * 50, "\u0e01\u0e34\u0e02" * 60, "x" * 65, "a,b" * 70, "1" * 80, "\u0130" * 40):
         got = toxicity.tokens_of(text)
-        assert all(0 < len(toxicity.letters_of(t)) <= 64 for t in got)
-        assert set(toxicity.letters_of("".join(got))) == set(toxicity.letters_of(text)) and len("".join(got)) >= len(toxicity.letters_of(text))
+        assert len(toxicity.letters_of("".join(got))) >= len(toxicity.letters_of(text))
+        assert set(toxicity.letters_of("".join(got))) == set(toxicity.letters_of(text))
