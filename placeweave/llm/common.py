@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +61,12 @@ def with_key(df: DataFrame, like: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.withColumn(key, F.col(key).cast(like.schema[key].dataType))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the row's columns of plain types but ``text``, to tell rows with the same text apart."""
+    own = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, (NumericType, StringType, BinaryType, BooleanType, DateType, TimestampType)) and f.name != "text"]
+    return F.xxhash64(*own) if own else F.lit(0)
+
+
 #: Parts into which the rows of one key are dealt by a salted join.
 SALTS = 8
 
@@ -67,6 +74,7 @@ SALTS = 8
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner") -> DataFrame:
     """Equi-join in which a hot key of ``left`` is dealt over SALTS parts by the column ``by``; the rows of
     ``right`` (one for each key, not hot) are repeated for each part."""
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    (salt,) = spare([*left.columns, *right.columns], "_salt")
+    salted = left.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn(salt, F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return salted.join(copies, [*on, salt], how).drop(salt)

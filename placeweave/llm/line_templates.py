@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, spare, text_or_empty, written
+from .common import row_hash, salted_join, spare, text_or_empty, written
 
 #: Documents with different texts in which a template recurs.
 LEAST_DOCS = 5
@@ -77,13 +77,14 @@ def _general(docs: DataFrame, lines: DataFrame, depth: int, least: int, alike: f
         votes = texts.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.count("*").alias("n"))  # one vote for each different line
         best = votes.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
         fixed = best.filter("2 * top.n > all").select("leaf", "pos", F.col("top.token").alias("fixed"))
-        same = texts.select("leaf", "h", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token")).join(fixed, ["leaf", "pos"])
+        same = texts.select("leaf", "h", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token"))
+        same = salted_join(same, fixed, ["leaf", "pos"], F.col("h"))  # a leaf may hold most lines
         same = same.filter("token = fixed").groupBy("leaf", "h", "size").agg(F.count("*").alias("equal"))
         found = same.filter(F.col("equal") >= alike * F.col("size")).select("leaf", "h", F.xxhash64(F.lit("leaf"), "leaf", F.lit(turn)).alias("template"))
         found = written(found, "general")
         out = found if out is None else out.union(found)
         more = found.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")  # elsewhere the votes stay as they are
-        rest = texts.join(more, "leaf").join(found.select("leaf", "h"), ["leaf", "h"], "left_anti")
+        rest = salted_join(texts, more, ["leaf"], F.col("h")).join(found.select("leaf", "h"), ["leaf", "h"], "left_anti")
         texts, turn = written(rest, "leaves"), turn + 1
         if not texts.limit(1).count():
             return out.select("h", "template")
@@ -118,7 +119,8 @@ def drop_templates(docs: DataFrame, least: int = LEAST_DOCS, depth: int = DEPTH,
     key, gone, rest = spare(names, "key", "gone", "rest")
     filled = docs.select(text_or_empty().alias("text")).filter("text <> ''")
     found = boilerplate(filled, least, depth, alike, copy_share).groupBy("key").agg(F.collect_set("h").alias(gone)).withColumnRenamed("key", key)
-    out = docs.select(*names).withColumn(key, F.xxhash64(text_or_empty())).join(found, key, "left")
+    out = docs.select(*names).withColumn(key, F.xxhash64(text_or_empty()))
+    out = salted_join(out, found, [key], row_hash(docs.select(*names)), how="left")  # copies of one text are dealt by their other columns
     before = F.split("text", "\n", -1)
     kept = F.filter(before, lambda x: ~F.array_contains(F.col(gone), F.xxhash64(masked(x))))
     out = out.withColumn(rest, F.when(F.col(gone).isNotNull(), F.array_join(kept, "\n")))

@@ -93,7 +93,7 @@ def test_surrogates_equal_a_plain_scan(spark, sf_dir):
 
 
 def test_clashing_columns(spark):
-    extra = ["key", "gone", "rest", "id", "new", "pieces", "_text", "_words", "_lines", "template", "h", "kind"]
+    extra = ["key", "gone", "rest", "salt", "id", "new", "pieces", "_text", "_words", "_lines", "template", "h", "kind"]
     names = ["doc_id", "text", *extra, *[f"_{c}" for c in extra if not c.startswith("_")]]
     df = spark.createDataFrame([(1, "Mr. Smith 10.0.0.1 a b c\nline", *["v"] * (len(names) - 2)), (None, None, *[None] * (len(names) - 2))], ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
     for out in (pii.replace_entities(df, "k"), lt.drop_templates(df), dl.judge(df, []), toxicity.score(df, toxicity.train([], np.zeros(0)))):
@@ -139,6 +139,66 @@ def test_line_templates(spark):
     assert lt.drop_templates(df.limit(0)).count() == 0
 
 
+def plain_templates(texts, least=5, depth=3, alike=0.7, copy_share=0.5):
+    """The same in plain Python: each different text without its lines of recurring templates."""
+    digits = regex.compile(r"(?<![\x21-\x7e])[\x21-\x2f\x3a-\x7e]*+[0-9][\x21-\x7e]*+")
+
+    def masked(line):
+        plain = line.strip(" \t\r\f\x0b")
+        mask = digits.sub("<*>", plain)
+        return mask if len(regex.findall(r"\p{L}", mask)) >= 6 else plain
+
+    texts = {t for t in texts if t}
+    own = {t: Counter() for t in texts}
+    for t in texts:
+        for line in t.split("\n"):
+            if m := masked(line):
+                own[t][m] += len(line.strip(" \t\r\f\x0b"))
+    leaves, carriers = {}, {}
+    for t, lines in own.items():
+        for m in lines:
+            leaf = (m.count(" "), *m.split(" ")[:depth])
+            leaves.setdefault(leaf, set()).add(m)
+            carriers.setdefault(leaf, set()).add(t)
+    template = {}
+    for leaf, lines in leaves.items():
+        turn = 0
+        while len(lines) > 1 and len(carriers[leaf]) >= least or turn and lines:
+            fixed = [Counter(column).most_common(1)[0] for column in zip(*(m.split(" ") for m in lines))]
+            like = lambda m: sum(a == f and 2 * n > len(lines) for a, (f, n) in zip(m.split(" "), fixed))  # noqa: B023, E731
+            found = {m for m in lines if like(m) and like(m) >= alike * len(fixed)}
+            template |= dict.fromkeys(found, (leaf, turn))
+            lines, turn = lines - found, turn + 1
+            if len(found) < 2:
+                break
+    recurs = Counter(x for lines in own.values() for x in {template.get(m, m) for m in lines})
+    common = {t: sum(n for m, n in lines.items() if recurs[template.get(m, m)] >= least) for t, lines in own.items()}
+    some = [t for t in texts if common[t] <= copy_share * sum(own[t].values())]
+    dropped = Counter(x for t in some for x in {template.get(m, m) for m in own[t]} if recurs[x] >= least)
+    out = {}
+    for t in texts:
+        rest = "\n".join(x for x in t.split("\n") if dropped[template.get(masked(x), masked(x))] < least)
+        out[t] = rest if rest.strip(" \t\r\f\x0b\n") else t
+    return out
+
+
+def test_templates_equal_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(6))
+    rows = []
+    for k in range(120):  # leaves with several templates, tables of numbers, hot and rare lines
+        some = [f"seen in the {rng.choice(['park', 'shop'])} by {word()} on a {rng.choice(['sunny', 'grey'])} day", f"page {k} of 90 in all", f"{k} {k % 7}", "the same hot line everywhere"]
+        own = [" ".join(word() for _ in range(9)) for _ in range(8)]
+        rows.append((10**6 + k, "\n".join(rng.sample(some, rng.randint(0, 4)) + own)))
+    rows += [(10**6 + 500 + k % 3, rows[0][1]) for k in range(40)]
+    docs = docs.union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = lt.drop_templates(docs).collect()
+    want = plain_templates({r.text for r in docs.collect()})
+    before = Counter((r.doc_id, want.get(r.text, r.text)) for r in docs.collect())
+    assert Counter((r.doc_id, r.text) for r in got) == before and sum(r.n_dropped > 0 for r in got) > 100
+
+
 def brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
