@@ -33,6 +33,8 @@ SAMPLE_PER_CLASS = 2000
 SAMPLE_CHARS = 8_000
 EPOCHS, RATE, KEEP = 70, 0.5, 0.8
 CACHE_WORDS = 400_000
+#: Words or grams that one step of the training sums.
+BLOCK = 1 << 18
 #: Letters of a word's parts, and from one part to the next.
 PART, STEP = 16, 8
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -81,11 +83,10 @@ def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Window of each word, numbered through, and the document of each window; a document without
     words has one empty window."""
     n = np.maximum(1, -(-counts // WINDOW))
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    start = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    word_doc = np.repeat(np.arange(len(counts)), counts)
-    inside = np.arange(counts.sum()) - start[word_doc]
-    return first[word_doc] + inside // WINDOW, np.repeat(np.arange(len(counts)), n)
+    first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int32)
+    start = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int32)
+    inside = np.arange(counts.sum(), dtype=np.int32) - np.repeat(start, counts)
+    return np.repeat(first, counts) + inside // WINDOW, np.repeat(np.arange(len(counts)), n)
 
 
 def _docs_per_gram(words: list[np.ndarray], grams: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
@@ -98,6 +99,31 @@ def _docs_per_gram(words: list[np.ndarray], grams: np.ndarray, sizes: np.ndarray
     return found
 
 
+def _numbered(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+    """The numbers of each text's words, and the letters of each word by its number; tokens without letters are no words."""
+    known: dict[str, int] = {}
+    number: dict[str, int] = {}
+    words = []
+    for text in texts:
+        own = array("i")
+        for token in tokens_of(text):
+            if (k := known.get(token)) is None:
+                letters = letters_of(token)
+                k = known[token] = number.setdefault(letters, len(number)) if letters else -1
+            if k >= 0:
+                own.append(k)
+        words.append(np.array(own, np.int32))
+    return words, list(number)
+
+
+def _sums(index: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """``values[of]`` summed by ``index``, in blocks: the arrays of words and grams are long, and the driver has little memory."""
+    out = np.zeros(n)
+    for k in range(0, len(index), BLOCK):
+        np.add.at(out, index[k : k + BLOCK].astype(np.intp), values[of[k : k + BLOCK]])
+    return out
+
+
 def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> SubwordSoftmax:
     """Joint training by gradient descent with momentum; each block's step is scaled by its largest gradient,
     so rare n-grams move little. The first epochs spread a document's error over all its windows, the
@@ -108,44 +134,32 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     if len(toxic) == 0 or toxic.min() == toxic.max():
         bias[:] = (0.0, -3.0) if len(toxic) == 0 or toxic[0] == 0 else (0.0, 3.0)
         return SubwordSoftmax([], np.zeros((0, DIM)), weights, bias)
-    known: dict[str, int] = {}
-    number: dict[str, int] = {}
-    flat, sizes = array("i"), array("i")  # the grams of all words one after the other, and how many each has
-    words, counts = [], []
-    for text in texts:
-        own = []
-        for token in tokens_of(text):
-            if (k := known.get(token)) is None:
-                letters = letters_of(token)
-                k = known.get("<" + letters) if letters else -1
-                if k is None:
-                    k = known["<" + letters] = len(sizes)
-                    bag = [number.setdefault(g, len(number)) for g in subwords(letters)]
-                    flat.extend(bag)
-                    sizes.append(len(bag))
-                known[token] = k
-            if k >= 0:
-                own.append(k)
-        words.append(np.asarray(own, np.int32))
-        counts.append(len(own))
-    del known
-    word, counts = np.concatenate(words), np.asarray(counts)
+    words, letters = _numbered(texts)
+    counts = np.array([len(w) for w in words])
+    flat, sizes, number = array("i"), array("i"), {}  # the grams of all words one after the other, and how many each has
+    for own in letters:
+        bag = [number.setdefault(g, len(number)) for g in subwords(own)]
+        flat.extend(bag)
+        sizes.append(len(bag))
+    del letters
+    word = np.concatenate(words)
     window, window_doc = _windows(counts)
     size = np.maximum(1, np.bincount(window, minlength=len(window_doc)))
     grams, bag_size = np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int32)
     common = _docs_per_gram(words, grams, bag_size.astype(np.int64), len(number)) >= LEAST_DOCS
-    names = {k: g for g, k in number.items() if common[k]}
+    names = [g for g, k in number.items() if common[k]]  # by number
     del number, words
-    gram_word = np.repeat(np.arange(len(bag_size), dtype=np.int32), bag_size)[common[grams]]
-    grams, bag_size = grams[common[grams]], bag_size.astype(np.float32)
-    used, slot = np.unique(grams, return_inverse=True)
+    keep = common[grams]
+    gram_word = np.repeat(np.arange(len(bag_size), dtype=np.int32), bag_size)[keep]
+    slot, bag_size = (np.cumsum(common, dtype=np.int32) - 1)[grams[keep]], bag_size.astype(np.float32)
+    del grams, flat, keep
     first_window = np.concatenate([[0], np.flatnonzero(np.diff(window_doc)) + 1])
     per_doc = np.bincount(window_doc)
     share = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum()))  # classes weigh the same
-    v, speed, scale = rng.normal(0, 0.1, (len(used), DIM)), {}, {}
+    v, speed, scale = rng.normal(0, 0.1, (len(names), DIM)), {}, {}
 
     def step(name: str, value: np.ndarray, grad: np.ndarray) -> None:
-        scale[name] = max(0.95 * scale.get(name, 0.0), float(np.abs(grad).max()), 1e-12)
+        scale[name] = max(0.95 * scale.get(name, 0.0), float(np.abs(grad).max(initial=0.0)), 1e-12)
         speed[name] = KEEP * speed.get(name, 0.0) + (1 - KEEP) * grad / scale[name]
         value -= RATE * speed[name]
 
@@ -153,8 +167,8 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     # so numbers alone pass through grams, words and windows.
     for t in range(1, epochs + 1):
         direction = weights[:, 1] - weights[:, 0]
-        part = np.bincount(gram_word, (v @ direction)[slot], len(bag_size)) / bag_size
-        gap = np.bincount(window, part[word], len(window_doc)) / size + bias[1] - bias[0]
+        part = _sums(gram_word, v @ direction, slot, len(bag_size)) / bag_size
+        gap = _sums(window, part, word, len(window_doc)) / size + bias[1] - bias[0]
         if t <= epochs // 4:
             pooled = np.bincount(window_doc, gap) / per_doc
             spread = 1 / per_doc[window_doc]
@@ -164,13 +178,13 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
             spread = worst / np.bincount(window_doc, worst)[window_doc]
         error = (1 / (1 + np.exp(-np.clip(pooled, -40, 40))) - toxic) * share
         g = error[window_doc] * spread
-        word_grad = np.bincount(word, (g / size)[window], len(bag_size)) / bag_size
-        pull = np.bincount(slot, word_grad[gram_word], len(used))
+        word_grad = _sums(word, g / size, window, len(bag_size)) / bag_size
+        pull = _sums(slot, word_grad, gram_word, len(names))
         w_grad = v.T @ pull
         step("w", weights, np.stack([-w_grad, w_grad], 1))
         step("b", bias, np.array([-g.sum(), g.sum()]))
         step("v", v, pull[:, None] * direction[None, :])
-    return SubwordSoftmax([names[k] for k in used.tolist()], v, weights, bias)
+    return SubwordSoftmax(names, v, weights, bias)
 
 
 class Scorer:

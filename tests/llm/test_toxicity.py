@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -44,6 +45,26 @@ def test_one_class_only():
     assert toxicity.Scorer(model.table(), model.offset()).score("x") < 0.5
 
 
+def test_training_needs_little_memory():
+    """At most 80 bytes a word (before: 88), as it runs beside the driver."""
+    rng = random.Random(41)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=2500)) for _ in range(120)]
+    tracemalloc.start()
+    try:
+        model = toxicity.train(texts, np.arange(120) % 2, epochs=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.grams) > 40_000 and peak < 80 * 2500 * 120
+
+
+def test_no_gram_is_common_enough():
+    for texts in (["", ""], ["12 3", "4"], ["a b c", ""]):
+        model = toxicity.train(texts, np.array([0, 1]))
+        assert 0 <= toxicity.Scorer(model.table(), model.offset()).score("a b") <= 1
+
+
 def test_long_tokens_are_dealt_by_one_rule():
     texts, y = fixture()
     model = toxicity.train(texts, y)
