@@ -25,7 +25,7 @@ COPY_SHARE = 0.5
 #: Letters that a line must have beside its wildcards; a line with fewer, as in a table of numbers, stands for itself.
 FIXED_LETTERS = 6
 WILD = "<*>"
-#: Leaves (one number each) that may be broadcast.
+#: Leaves, or lines in them (a few numbers each), that may be broadcast.
 BROADCAST_LEAVES = 500_000
 
 
@@ -33,12 +33,20 @@ def trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r\f\x0b"))
 
 
+def _mask(plain: Column) -> Column:
+    """A trimmed line with each run of ASCII signs that holds a digit as a wildcard; null without digits."""
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![\x21-\x7e])[\x21-\x2f\x3a-\x7e]*+[0-9][\x21-\x7e]*+", WILD))
+
+
+def _fixed(mask: Column, plain: Column) -> Column:
+    return F.when(mask.rlike(rf"(?:\p{{L}}\P{{L}}*+){{{FIXED_LETTERS}}}"), mask).otherwise(plain)
+
+
 def masked(line: Column) -> Column:
     """A line without outer white space, with each run of ASCII signs that holds a digit as a wildcard; as it is
     where that leaves fewer than FIXED_LETTERS letters."""
     plain = trimmed(line)
-    mask = F.regexp_replace(plain, r"(?<![\x21-\x7e])[\x21-\x2f\x3a-\x7e]*+[0-9][\x21-\x7e]*+", WILD)
-    return F.when(plain.rlike("[0-9]"), F.when(mask.rlike(rf"(?:\p{{L}}\P{{L}}*+){{{FIXED_LETTERS}}}"), mask).otherwise(plain)).otherwise(plain)
+    return _fixed(_mask(plain), plain)
 
 
 def n_tokens(line: Column) -> Column:
@@ -50,9 +58,12 @@ def leaf(line: Column, depth: int) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``key`` (hash of the whole text), ``line`` (masked, not blank), ``size`` (characters of the line itself)."""
+    """``key`` (hash of the whole text), ``raw`` (hash of the line), ``line`` (masked, not blank), ``size`` (characters of
+    the line itself). Each step has columns of its own, so that a line is masked once."""
     own = docs.select(F.xxhash64("text").alias("key"), F.explode(F.split("text", "\n", -1)).alias("line"))
-    return own.select("key", masked(F.col("line")).alias("line"), F.length(trimmed(F.col("line"))).alias("size")).filter("line <> ''")
+    own = own.select("key", F.xxhash64("line").alias("raw"), trimmed(F.col("line")).alias("plain")).filter("plain <> ''")
+    own = own.withColumn("mask", _mask(F.col("plain")))
+    return own.select("key", "raw", _fixed(F.col("mask"), F.col("plain")).alias("line"), F.length("plain").alias("size"))
 
 
 def _counts(rows: DataFrame, by: str) -> DataFrame:
@@ -65,12 +76,18 @@ def _general(docs: DataFrame, lines: DataFrame, depth: int, least: int, alike: f
     leaves = _counts(lines, "leaf").filter(F.col("n_docs") >= least).select("leaf")
     varied = lines.select("leaf", "h").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").join(leaves, "leaf").select("leaf")
     varied = written(varied, "varied")
-    own = _lines(docs).withColumn("leaf", leaf(F.col("line"), depth))
-    if varied.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:  # else the lines are shuffled by leaf
-        texts = own.join(F.broadcast(varied), "leaf")
+    lone = salted_join(lines, varied, ["leaf"], F.col("key")).groupBy("leaf", "h").agg(F.min("raw").alias("raw"))  # one line of each mask
+    lone = written(lone, "lone")
+    if lone.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:  # only these lines are masked again
+        own = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("raw", F.xxhash64("line"))
+        texts = own.join(F.broadcast(lone), "raw").groupBy("leaf", "h").agg(F.first("line").alias("line")).withColumn("line", masked(F.col("line")))
     else:
-        texts = salted_join(own, varied, ["leaf"], F.col("key"))
-    texts = texts.groupBy("leaf", F.xxhash64("line").alias("h")).agg(F.first("line").alias("line"))
+        own = _lines(docs).withColumn("leaf", leaf(F.col("line"), depth))
+        if varied.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:  # else the lines are shuffled by leaf
+            texts = own.join(F.broadcast(varied), "leaf")
+        else:
+            texts = salted_join(own, varied, ["leaf"], F.col("key"))
+        texts = texts.groupBy("leaf", F.xxhash64("line").alias("h")).agg(F.first("line").alias("line"))
     texts = written(texts.withColumn("tokens", F.split("line", " ", -1)).drop("line"), "leaves")
     out, turn = None, 0
     while True:
@@ -91,20 +108,20 @@ def _general(docs: DataFrame, lines: DataFrame, depth: int, least: int, alike: f
 
 
 def boilerplate(docs: DataFrame, least: int = LEAST_DOCS, depth: int = DEPTH, alike: float = ALIKE, copy_share: float = COPY_SHARE) -> DataFrame:
-    """``key, h``: the boilerplate lines (by the hash of their masked text) of each text (by its hash)."""
+    """``key, raw``: the boilerplate lines of each text, both by their hashes."""
     line = F.col("line")
-    lines = _lines(docs).groupBy("key", F.xxhash64(line).alias("h"), leaf(line, depth).alias("leaf")).agg(F.sum("size").alias("size"))
+    lines = _lines(docs).groupBy("key", "raw", F.xxhash64(line).alias("h"), leaf(line, depth).alias("leaf")).agg(F.sum("size").alias("size"))
     lines = written(lines, "lines")
     general = _general(docs, lines, depth, least, alike)
     lines = salted_join(lines, general, ["h"], F.col("key"), how="left").withColumn("template", F.coalesce("template", "h"))
-    lines = written(lines.select("key", "h", "template", "size"), "templates")
+    lines = written(lines.select("key", "raw", "template", "size"), "templates")
     recurring = _counts(lines, "template").filter(F.col("n_docs") >= least).select("template", F.lit(1).alias("recurs"))
     seen = salted_join(lines, recurring, ["template"], F.col("key"), how="left")
     share = seen.groupBy("key").agg(F.sum(F.when(F.col("recurs") == 1, F.col("size")).otherwise(0)).alias("common"), F.sum("size").alias("all"))
     carriers = share.filter(F.col("common") <= copy_share * F.col("all")).select("key")
-    found = written(seen.filter("recurs = 1").select("key", "h", "template"), "recurring")
+    found = written(seen.filter("recurs = 1").select("key", "raw", "template"), "recurring")
     dropped = _counts(found.join(carriers, "key"), "template").filter(F.col("n_docs") >= least).select("template")
-    return salted_join(found, dropped, ["template"], F.col("key")).select("key", "h").distinct()
+    return salted_join(found, dropped, ["template"], F.col("key")).select("key", "raw").distinct()
 
 
 def drop_templates(docs: DataFrame, least: int = LEAST_DOCS, depth: int = DEPTH, alike: float = ALIKE, copy_share: float = COPY_SHARE) -> DataFrame:
@@ -118,11 +135,11 @@ def drop_templates(docs: DataFrame, least: int = LEAST_DOCS, depth: int = DEPTH,
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     key, gone, rest = spare(names, "key", "gone", "rest")
     filled = docs.select(text_or_empty().alias("text")).filter("text <> ''")
-    found = boilerplate(filled, least, depth, alike, copy_share).groupBy("key").agg(F.collect_set("h").alias(gone)).withColumnRenamed("key", key)
+    found = boilerplate(filled, least, depth, alike, copy_share).groupBy("key").agg(F.collect_set("raw").alias(gone)).withColumnRenamed("key", key)
     out = docs.select(*names).withColumn(key, F.xxhash64(text_or_empty()))
     out = salted_join(out, found, [key], row_hash(docs.select(*names)), how="left")  # copies of one text are dealt by their other columns
     before = F.split("text", "\n", -1)
-    kept = F.filter(before, lambda x: ~F.array_contains(F.col(gone), F.xxhash64(masked(x))))
+    kept = F.filter(before, lambda x: ~F.array_contains(F.col(gone), F.xxhash64(x)))
     out = out.withColumn(rest, F.when(F.col(gone).isNotNull(), F.array_join(kept, "\n")))
     out = out.withColumn(rest, F.when(F.trim(F.translate(rest, "\t\r\f\x0b\n", "     ")) != "", F.col(rest)))
     n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(before))
