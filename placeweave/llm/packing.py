@@ -20,8 +20,8 @@ from .common import keyed_texts, text_or_empty
 
 #: Pieces that one group holds on average at most: the memory of a task, and with it the padding, follow from it.
 GROUP_PIECES = 8_192
-#: Pieces whose ids a worker keeps.
-CACHE_PIECES = 600_000
+#: Pieces whose ids a task keeps.
+CACHE_PIECES = 150_000
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -156,15 +156,25 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     made once and need not be shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _codes(tokenizer)
+        return _cut_batches(batches, tokenizer, capacity, end_id, with_ids)
+
+    out = keyed_texts(docs).mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The pieces of a task's texts. Spark keeps its Python workers: the ids of known pieces go with the task, or each
+    worker would hold them while it runs other stages."""
+    coder = _codes(tokenizer)
+    try:
         for batch in batches:
             together = np.cumsum(pc.binary_length(batch["text"]).to_numpy()) // _TOGETHER
             cuts = [0, *(np.flatnonzero(np.diff(together)) + 1).tolist(), len(batch)] if len(batch) else []
             for a, b in zip(cuts, cuts[1:]):
                 yield _cut(batch["doc_id"].slice(a, b - a), *coder.encode(batch["text"].slice(a, b - a)), capacity, end_id, with_ids)
-
-    out = keyed_texts(docs).mapInArrow(run, PIECES + ", ids binary" * with_ids)
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    finally:
+        coder.pieces = {}
+        pa.default_memory_pool().release_unused()
 
 
 def _cut(keys: pa.Array, ids: np.ndarray, stops: np.ndarray, capacity: int, end_id: int, with_ids: bool) -> pa.RecordBatch:

@@ -49,6 +49,14 @@ def test_word_codes_equal_tokenizer():
         assert [x.tolist() for x in np.split(ids, stops)][: len(some)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_packing_keeps_no_pieces_after_a_task():
+    path = P.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_pydict({"doc_id": ["1", "2", None], "text": ["some words and words", "others", ""]})
+    out = list(packing._cut_batches(iter([batch]), path, 2048, 1, False))
+    assert [r["doc_tokens"] for b in out for r in b.to_pylist()] == [len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) + 1 for t in batch["text"].to_pylist()]
+    assert not packing._codes(path).pieces
+
+
 def test_packing_is_gapless_and_tight(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "word " * 9000), (None, "a b")], "doc_id long, text string")
