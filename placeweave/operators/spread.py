@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import kept
 from .match import salted
 
 #: Points that a task keeps before it hands on its hulls so far, and parts in which partial hulls of a group first meet.
@@ -132,43 +133,83 @@ def chapter_clusters(candidates: DataFrame, anchors: DataFrame, scale: tuple[flo
     return salted(own.select("id", "cls"), out, ["cls"], F.col("id")).select("id", "lon", "lat", "anchors", "spread", "conf")
 
 
-def largest_balls(points: DataFrame, by: str, radius_m: float, distance: Callable[..., Column], scale: tuple[float, float], least: int = 2, parts: int = 4) -> DataFrame:
+#: Cells to a radius at which balls are bounded first, the factor from one bound to the next, the finest bound, and the
+#: finest cells whose points are compared. A look-up takes about as long as so many comparisons.
+FIRST, FINER, FINEST, COMPARED, LOOK_UP = 2, 4, 32, 8, 20
+
+
+def _across(parts: int) -> list[tuple[int, int, int]]:
+    """``j, whole, reach`` of each row of cells (``parts`` to the radius) around a cell: how far to both sides cells lie within
+    the radius as a whole (-1: none does), and how far any of their points may."""
+    whole = lambda j: max((i for i in range(parts) if (i + 1) ** 2 + (abs(j) + 1) ** 2 < parts**2), default=-1)
+    reach = lambda j: max(i for i in range(parts + 2) if max(i - 1, 0) ** 2 + max(abs(j) - 1, 0) ** 2 <= parts**2)
+    return [(j, whole(j), reach(j)) for j in range(-parts - 1, parts + 2)]
+
+
+def _bounds(cells: DataFrame, centres: DataFrame, by: str, parts: int) -> DataFrame:
+    """``by, cx, cy, n, low, high`` of the cells ``centres``: how many points a ball around any of its points holds at least
+    and at most. Counts along each row of cells are summed up once; a row of a ball is a difference of two of these sums."""
+    ends = []
+    for j, whole, reach in _across(parts):
+        ends += [(j, reach, 0, 1), (j, -reach - 1, 0, -1)]
+        ends += [(j, whole, 1, 0), (j, -whole - 1, -1, 0)] if whole >= 0 else []
+    ends = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), F.lit(low).alias("low"), F.lit(high).alias("high")) for j, i, low, high in ends])
+    asked = centres.withColumn("o", F.explode(ends)).select(by, (F.col("cy") + F.col("o.j")).alias("y"), (F.col("cx") + F.col("o.i")).alias("x"), F.lit(0).cast("long").alias("n"), "cx", "cy", F.col("n").alias("own"), "o.low", "o.high")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("cx", "long"), ("cy", "long"), ("own", "long"), ("low", "int"), ("high", "int"))]
+    so_far = F.sum("n").over(Window.partitionBy(by, "y").orderBy("x", F.col("cx").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    met = cells.select(by, F.col("cy").alias("y"), F.col("cx").alias("x"), "n", *none).unionByName(asked).withColumn("sum", so_far).filter("cx is not null")
+    return met.groupBy(by, "cx", "cy").agg(F.max("own").alias("n"), F.sum(F.col("low") * F.col("sum")).alias("low"), F.sum(F.col("high") * F.col("sum")).alias("high"))
+
+
+def largest_balls(points: DataFrame, by: str, radius_m: float, distance: Callable[..., Column], scale: tuple[float, float], least: int = 2) -> DataFrame:
     """``by, id, n, lon, lat``: in each group the point (``by, id, lon, lat``) with the most points of its group within
-    the radius, itself included (ties: the smallest id), how many they are and their mean place. Points are counted by cells
-    of ``1 / parts`` of the radius: cells that lie within reach as a whole are taken from their sums, those out of reach are
-    left out, and only points of cells at the edge are compared. A cell whose bound lies below what another cell is sure of
-    is out before any point is compared."""
-    side = radius_m / parts
-    at = lambda c, s: F.floor(F.col(c) * s / side)
-    p = points.select(by, "id", "lon", "lat").filter("lon is not null and lat is not null").withColumn("cx", at("lon", scale[0])).withColumn("cy", at("lat", scale[1]))
-    cells = p.groupBy(by, "cx", "cy").agg(F.count("*").alias("n"), F.sum("lon").alias("sx"), F.sum("lat").alias("sy"))
-    reach = range(-parts - 1, parts + 2)
-    slack = 1 + 1e-9
-    least_gap = lambda i, j: side * (max(abs(i) - 1, 0) ** 2 + max(abs(j) - 1, 0) ** 2) ** 0.5
-    most_gap = lambda i, j: side * ((abs(i) + 1) ** 2 + (abs(j) + 1) ** 2) ** 0.5
-    offsets = [(i, j, most_gap(i, j) * slack <= radius_m) for i in reach for j in reach if least_gap(i, j) <= radius_m * slack]
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(whole).alias("whole")) for i, j, whole in offsets])
-
-    def spread(frame: DataFrame, kind: Column) -> DataFrame:
-        wide = frame.withColumn("o", F.explode(around)).filter(kind)
-        return wide.withColumn("x2", F.col("cx") + F.col("o.i")).withColumn("y2", F.col("cy") + F.col("o.j"))
-
-    there = cells.select(by, F.col("cx").alias("x2"), F.col("cy").alias("y2"), F.col("n").alias("n2"), F.col("sx").alias("sx2"), F.col("sy").alias("sy2"))
-    met = spread(cells.select(by, "cx", "cy"), F.lit(True)).join(there, [by, "x2", "y2"])
-    sure = F.col("o.whole")
-    bound = met.groupBy(by, "cx", "cy").agg(
-        F.sum("n2").alias("high"), F.sum(F.when(sure, F.col("n2")).otherwise(0)).alias("low"), F.sum(F.when(sure, F.col("sx2")).otherwise(0.0)).alias("sx"), F.sum(F.when(sure, F.col("sy2")).otherwise(0.0)).alias("sy"),
-    )
-    best = bound.groupBy(by).agg(F.max("low").alias("best"))
-    live = bound.join(best, by).filter((F.col("high") >= F.col("best")) & (F.col("high") >= least)).drop("best")
-    own = p.join(live, [by, "cx", "cy"])
-    other = p.select(by, F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
-    edge = spread(own.select(by, "id", "lon", "lat", "cx", "cy"), ~F.col("o.whole")).join(other, [by, "x2", "y2"]).filter(distance(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")) <= radius_m)
-    edge = edge.groupBy(by, "id").agg(F.count("*").alias("n2"), F.sum("lon2").alias("sx2"), F.sum("lat2").alias("sy2"))
-    n = F.col("low") + F.coalesce("n2", F.lit(0))
-    full = own.join(edge, [by, "id"], "left").select(by, "id", n.alias("n"), ((F.col("sx") + F.coalesce("sx2", F.lit(0.0))) / n).alias("lon"), ((F.col("sy") + F.coalesce("sy2", F.lit(0.0))) / n).alias("lat"))
+    the radius, itself included (ties: the smallest id), how many they are and their mean place. Balls are bounded by the
+    counts of cells, finer ones in turn: a cell whose bound lies below what a ball is known to hold is out before any of its
+    points is compared. Of what is left, cells that lie within the radius as a whole are taken from their counts, and only
+    points of cells at the edge are compared; cells are made finer while that costs less than it saves."""
+    p = kept(points.select(by, "id", "lon", "lat").filter(f"`{by}` is not null and lon is not null and lat is not null"), "points")
+    side = lambda c, s, parts: F.floor(F.col(c) * s / (radius_m / parts))
+    celled = lambda parts: p.withColumn("cx", side("lon", scale[0], parts)).withColumn("cy", side("lat", scale[1], parts))
+    here, there = [F.col(c) for c in ("lon", "lat")], [F.col(c) for c in ("lon2", "lat2")]
+    square = sum(((a - b) * s) * ((a - b) * s) for a, b, s in zip(here, there, scale))
+    # the exact distance only where it matters
+    near = (square <= radius_m**2 * (1 - 1e-9)) | ((square <= radius_m**2 * (1 + 1e-9)) & (distance(*here, *there) <= radius_m))
+
+    def ball(centre: DataFrame) -> DataFrame:
+        """The points around one point of each group."""
+        return salted(p.select(by, F.col("id").alias("id2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), centre, [by], F.col("id2")).filter(near)
+
+    live, parts = None, FIRST
+    while True:
+        cells = celled(parts).groupBy(by, "cx", "cy").agg(F.count("*").alias("n"))
+        up = [F.floor(F.col(c) / FINER).alias(c) for c in ("cx", "cy")]
+        centres = cells if live is None else cells.withColumn("up", F.struct(*up)).join(live.select(by, F.struct("cx", "cy").alias("up")), [by, "up"]).drop("up")
+        bound = kept(_bounds(cells, centres, by, parts), "bounds")
+        most = bound.groupBy(by).agg(F.max("low").alias("low"), F.max_by(F.struct("cx", "cy"), F.struct(F.col("low") + F.col("high"), "cx", "cy")).alias("c"))
+        seed = celled(parts).join(most.select(by, "c.cx", "c.cy"), [by, "cx", "cy"]).groupBy(by).agg(F.min(F.struct("id", "lon", "lat")).alias("s"))
+        known = ball(seed.select(by, "s.lon", "s.lat")).groupBy(by).agg(F.count("*").alias("known"))
+        best = most.join(known, by).select(by, F.greatest("low", "known", F.lit(least)).alias("best"))
+        live = kept(bound.join(best, by).filter("high >= best").drop("best"), "live")
+        if parts <= COMPARED:
+            compared, lows = parts, live.select(by, "cx", "cy", "low")
+        work = live.agg(F.sum(F.col("n") * (F.col("high") - F.col("low"))).alias("pairs"), F.least(F.count("*") * FINER**2, F.sum("n")).alias("cells")).first()
+        if parts * FINER > FINEST or not work["pairs"] or work["pairs"] <= LOOK_UP * work["cells"] * 8 * parts * FINER:
+            break
+        parts *= FINER
+    offsets = [(i, j) for j, whole, reach in _across(compared) for i in range(-reach, reach + 1) if abs(i) > whole]
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
+    own = celled(parts).join(live.select(by, "cx", "cy"), [by, "cx", "cy"]).select(by, "id", "lon", "lat")
+    own = own.withColumn("cx", side("lon", scale[0], compared)).withColumn("cy", side("lat", scale[1], compared))
+    other = celled(compared).select(by, F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
+    wide = own.withColumn("o", F.explode(around)).select(by, "id", "lon", "lat", (F.col("cx") + F.col("o.i")).alias("x2"), (F.col("cy") + F.col("o.j")).alias("y2"))
+    # exploded rows count as one in Spark's estimate, which would broadcast them
+    edge = wide.hint("merge").join(other, [by, "x2", "y2"]).filter(near).groupBy(by, "id").agg(F.count("*").alias("n2"))
+    full = own.join(lows, [by, "cx", "cy"]).join(edge, [by, "id"], "left").select(by, "id", "lon", "lat", (F.col("low") + F.coalesce("n2", F.lit(0))).alias("n"))
     top = full.filter(F.col("n") >= least).groupBy(by).agg(F.max(F.struct("n", (-F.col("id")).alias("back"), "id", "lon", "lat")).alias("b"))
-    return top.select(by, "b.id", "b.n", "b.lon", "b.lat")
+    top = kept(top.select(by, "b.id", "b.n", "b.lon", "b.lat"), "balls")
+    # added up as decimals: the mean doesn't depend on the order of tasks, nor does its last place where it is rounded
+    mean = lambda c: (F.sum(F.col(f"{c}2").cast("decimal(30,15)")).cast("double") / F.col("n")).alias(c)
+    return ball(top).groupBy(by, "id", "n").agg(mean("lon"), mean("lat"))
 
 
 def prefix_members(stems: DataFrame, names: DataFrame, stem: str, name: str) -> DataFrame:

@@ -54,3 +54,21 @@ def test_largest_balls(spark, radius):
         if len(near[k]) >= 2:
             want[g] = (k, len(near[k]), sum(q[2] for q in near[k]) / len(near[k]))
     assert set(got) == set(want) and all(got[g][:2] == want[g][:2] and math.isclose(got[g][2], want[g][2], abs_tol=1e-9) for g in want)
+
+
+def test_largest_balls_broadcast_no_exploded_rows(spark):
+    rng = random.Random(7)
+    rows = [(f"g{k % 40}", k, rng.uniform(0, 60), rng.uniform(0, 40)) for k in range(40_000)]
+    df = spark.createDataFrame(rows, "g string, id long, lon double, lat double")
+    far = lambda a, b, c, d: ((a - c) ** 2 + (b - d) ** 2) ** 0.5
+    old = {k: spark.conf.get(k) for k in ("spark.sql.maxBroadcastTableSize", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", "64m")
+        got = {r["g"]: (r["id"], r["n"]) for r in spread.largest_balls(df, "g", 1.0, far, (1.0, 1.0)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    own = [r for r in rows if r[0] == "g3"]
+    near = {r[1]: sum(math.hypot(r[2] - q[2], r[3] - q[3]) <= 1.0 for q in own) for r in own}
+    k = min(near, key=lambda i: (-near[i], i))
+    assert len(got) == 40 and got["g3"] == (k, near[k])
