@@ -72,3 +72,20 @@ def test_largest_balls_broadcast_no_exploded_rows(spark):
     near = {r[1]: sum(math.hypot(r[2] - q[2], r[3] - q[3]) <= 1.0 for q in own) for r in own}
     k = min(near, key=lambda i: (-near[i], i))
     assert len(got) == 40 and got["g3"] == (k, near[k])
+
+
+@pytest.mark.parametrize("shape", ["box", "ring", "copies"])
+def test_largest_balls_over_all_bounds(spark, monkeypatch, shape):
+    rng = random.Random(8)
+    monkeypatch.setattr(spread, "LOOK_UP", 0)  # goes on to the finest cells
+    one = {"box": lambda: (rng.uniform(-3, 3), rng.uniform(-2, 2)), "ring": lambda: (lambda t: (2 * math.cos(t), 2 * math.sin(t)))(rng.uniform(0, 7)), "copies": lambda: (float(rng.randrange(-3, 4)), float(rng.randrange(-3, 4)))}[shape]
+    rows = [("ab"[k % 2], k, *one()) for k in range(600)]
+    df = spark.createDataFrame(rows, "g string, id long, lon double, lat double")
+    far = lambda a, b, c, d: ((a - c) ** 2 + (b - d) ** 2) ** 0.5
+    got = {r["g"]: (r["id"], r["n"], r["lon"], r["lat"]) for r in spread.largest_balls(df, "g", 2.0, far, (1.0, 1.0)).collect()}
+    for g in "ab":
+        own = [r for r in rows if r[0] == g]
+        near = {r[1]: [q for q in own if ((r[2] - q[2]) ** 2 + (r[3] - q[3]) ** 2) ** 0.5 <= 2.0] for r in own}
+        k = min(near, key=lambda i: (-len(near[i]), i))
+        assert got[g][:2] == (k, len(near[k]))
+        assert all(math.isclose(got[g][c], sum(q[c] for q in near[k]) / len(near[k]), abs_tol=1e-9) for c in (2, 3))
