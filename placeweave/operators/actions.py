@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import kept
-from .match import salted
+from .match import dealt, salted
 
 RENAME, SPLIT, REMOVE_ALIAS, MERGE_ROUTES, BULK_REMOVE = "rename", "split", "remove_alias", "merge_routes", "bulk_remove"
 DEFINE, KEEP, REMOVE, MERGE_INTO = "define", "keep", "remove", "merge_into"
@@ -20,31 +20,30 @@ _STRINGS = "array<string>"
 
 
 def chains(moves: DataFrame) -> DataFrame:
-    """``name, target, steps`` from moves ``seq, subject, object, note`` (a struct or array that the step hands on): what a
-    row of that name is called after all moves, and the steps on the way (``object, note``) in order. A move without effect
-    (subject = object) is a step as well."""
-    m = kept(moves.select("seq", "subject", "object", "note").dropDuplicates(["seq", "subject"]), "moves")
+    """``name, target, reset, items`` from moves ``seq, subject, object, reset, items``: what a row of that name is called after
+    all moves, and what the steps on the way hand on: their items, each once, in the order of the steps; from the last step
+    with ``reset`` on, if one has it. A move without effect (subject = object) is a step as well."""
+    m = kept(moves.select("seq", "subject", "object", "reset", F.array_distinct("items").alias("items")).dropDuplicates(["seq", "subject"]), "moves")
     asks = m.select(F.col("object").alias("name"), "seq", F.lit(1).alias("ask"), "subject")
     offers = m.select(F.col("subject").alias("name"), "seq", F.lit(0).alias("ask"), "subject")
-    later = Window.partitionBy("name").orderBy("seq", "ask").rowsBetween(1, Window.unboundedFollowing)
-    nxt = asks.union(offers).withColumn("next", F.first(F.when(F.col("ask") == 0, F.col("seq")), True).over(later)).filter("ask = 1").select("seq", "subject", "next")
-    step = F.array(F.struct("object", "note"))
-    now = m.join(nxt, ["seq", "subject"]).select("seq", "subject", "object", "next", F.col("object").alias("target"), step.alias("steps"))
-    now = kept(now.drop("object"), "chains")
+    later = Window.partitionBy("name").orderBy(F.desc("seq"), F.desc("ask")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = asks.union(offers).withColumn("next", F.last(F.when(F.col("ask") == 0, F.col("seq")), True).over(later)).filter("ask = 1").select("seq", "subject", "next")
+    now = kept(m.join(nxt, ["seq", "subject"]).select("seq", "subject", "next", F.col("object").alias("target"), "reset", "items"), "chains")
     while now.filter("next is not null").limit(1).count():
-        ahead = now.select(F.col("seq").alias("next"), F.col("subject").alias("target"), F.col("next").alias("next2"), F.col("target").alias("target2"), F.col("steps").alias("steps2"))
+        ahead = now.select(F.col("seq").alias("next"), F.col("subject").alias("target"), F.col("next").alias("next2"), F.col("target").alias("target2"), F.col("reset").alias("reset2"), F.col("items").alias("items2"))
         new = now.join(ahead, ["next", "target"], "left")
         more = F.col("target2").isNotNull()
-        new = new.select("seq", "subject", F.when(more, F.col("next2")).alias("next"), F.coalesce("target2", "target").alias("target"), F.when(more, F.concat("steps", "steps2")).otherwise(F.col("steps")).alias("steps"))
+        items = F.when(~more, F.col("items")).when(F.col("reset2"), F.col("items2")).otherwise(F.array_union("items", "items2"))
+        new = new.select("seq", "subject", F.when(more, F.col("next2")).alias("next"), F.coalesce("target2", "target").alias("target"), (F.col("reset") | F.coalesce("reset2", F.lit(False))).alias("reset"), items.alias("items"))
         now = kept(new, "chains")
-    return now.groupBy(F.col("subject").alias("name")).agg(F.min_by(F.struct("target", "steps"), "seq").alias("c")).select("name", "c.target", "c.steps")
+    return now.groupBy(F.col("subject").alias("name")).agg(F.min_by(F.struct("target", "reset", "items"), "seq").alias("c")).select("name", "c.target", "c.reset", "c.items")
 
 
 def _followed(rows: DataFrame, moves: DataFrame, aliases) -> DataFrame:
-    """Rows under their last names; ``aliases`` makes the new aliases from the old ones and the steps."""
+    """Rows under their last names; ``aliases`` makes the new aliases from the old ones, the items and whether these replace them."""
     met = salted(rows, chains(moves), ["name"], F.col("row_id"), "left")
     moved = F.col("target").isNotNull()
-    return met.select("row_id", F.coalesce("target", "name").alias("name"), F.when(moved, aliases(F.col("aliases"), F.col("steps"))).otherwise(F.col("aliases")).alias("aliases"))
+    return met.select("row_id", F.coalesce("target", "name").alias("name"), F.when(moved, aliases(F.col("aliases"), F.col("items"), F.col("reset"))).otherwise(F.col("aliases")).alias("aliases"))
 
 
 def _appended(old: Column, more: Column) -> Column:
@@ -76,27 +75,30 @@ def replay(rows: DataFrame, log: DataFrame) -> DataFrame:
     object; the other subjects of that object in the ``block`` become aliases), bulk_remove (object from rows named subject),
     define (the objects, with the name, are the aliases), keep (only these of the aliases, or all of these if none is left),
     remove (not these; the name itself if none is left), merge_into (subject to object, with the defined or kept aliases of
-    the new name, else with the name added). Row ids are unique; null aliases are none."""
+    the new name, else with the name added). Row ids are unique; null aliases are none. Rows of equal names and aliases are
+    one class, which is followed once."""
     log = kept(log.select("seq", "action", "subject", "object", "block"), "log")
     of = lambda action: log.filter(F.col("action") == action)
-    now = rows.select("row_id", "name", F.coalesce("aliases", F.array().cast(_STRINGS)).alias("aliases"))
+    own = rows.select("row_id", "name", F.coalesce("aliases", F.array().cast(_STRINGS)).alias("aliases"))
+    own = kept(own.withColumn("class", F.md5(F.to_json(F.struct("name", "aliases")))), "own")
+    now = kept(own.groupBy("class").agg(F.first("name").alias("name"), F.first("aliases").alias("aliases")).select(F.col("class").alias("row_id"), "name", "aliases"), "classes")
 
-    moves = of(RENAME).select("seq", "subject", "object", F.array("subject").alias("note"))
-    now = _followed(now, moves, lambda old, steps: _appended(old, F.array_distinct(F.flatten(F.transform(steps, lambda s: s["note"])))))
+    moves = of(RENAME).select("seq", "subject", "object", F.lit(False).alias("reset"), F.array("subject").alias("items"))
+    now = _followed(now, moves, lambda old, items, reset: _appended(old, items))
 
     child = of(SPLIT).groupBy("block", "object").agg(F.min("seq").alias("at"), F.collect_set("subject").alias("own"))
     names = of(SPLIT).groupBy("block").agg(F.collect_set("object").alias("names"))
-    child = child.join(names, "block").select("block", "object", "at", F.array_union("own", F.array_except("names", F.array("object"))).alias("note"))
-    moves = of(SPLIT).select("block", "subject", "object").join(child, ["block", "object"]).select(F.col("at").alias("seq"), "subject", "object", "note")
-    now = _followed(now, moves, lambda old, steps: F.filter(old, lambda a: ~F.array_contains(F.flatten(F.transform(steps, lambda s: s["note"])), a)))
+    child = child.join(names, "block").select("block", "object", "at", F.array_union("own", F.array_except("names", F.array("object"))).alias("items"))
+    moves = of(SPLIT).select("block", "subject", "object").join(child, ["block", "object"]).select(F.col("at").alias("seq"), "subject", "object", F.lit(False).alias("reset"), "items")
+    now = _followed(now, moves, lambda old, items, reset: F.filter(old, lambda a: ~F.array_contains(items, a)))
 
     now = kept(_without(now, of(REMOVE_ALIAS).select(F.col("object").alias("alias")), False), "rows")
     others = now.select(F.trim("name").alias("alias")).filter("alias <> ''")
     now = _without(now, others, True)
 
     merged = of(MERGE_ROUTES).groupBy("block", "object").agg(F.min("seq").alias("at"), F.array_sort(F.collect_set("subject")).alias("own"))
-    moves = of(MERGE_ROUTES).select("block", "subject", "object").join(merged, ["block", "object"]).select(F.col("at").alias("seq"), "subject", "object", F.array_except("own", F.array("object")).alias("note"))
-    now = _followed(now, moves, lambda old, steps: _appended(old, F.array_distinct(F.flatten(F.transform(steps, lambda s: s["note"])))))
+    moves = of(MERGE_ROUTES).select("block", "subject", "object").join(merged, ["block", "object"]).select(F.col("at").alias("seq"), "subject", "object", F.lit(False).alias("reset"), F.array_except("own", F.array("object")).alias("items"))
+    now = _followed(now, moves, lambda old, items, reset: _appended(old, items))
 
     now = _by_name(now, log, BULK_REMOVE, lambda old, gone, name: F.filter(old, lambda a: ~F.array_contains(gone, a)))
     now = _by_name(now, log, DEFINE, lambda old, own, name: F.array_sort(F.array_union(own, F.array(name))))
@@ -119,9 +121,6 @@ def replay(rows: DataFrame, log: DataFrame) -> DataFrame:
     whole = F.array_sort(F.array_union(F.when(F.size("defined") > 0, F.col("defined")).otherwise(F.col("kept")), F.array("object")))
     known = known.select("object", F.when(F.size(whole) > 1, whole).alias("note"))
     block = of(MERGE_INTO).groupBy("block", "object").agg(F.min("seq").alias("at"))
-    moves = of(MERGE_INTO).filter("subject <> object").join(block, ["block", "object"]).join(known, "object", "left").select(F.col("at").alias("seq"), "subject", "object", "note")
-
-    def merged_aliases(old: Column, steps: Column) -> Column:
-        return F.array_sort(F.aggregate(steps, F.array_distinct(old), lambda own, s: F.coalesce(s["note"], F.array_union(own, F.array(s["object"])))))
-
-    return _followed(now, moves, merged_aliases)
+    moves = of(MERGE_INTO).filter("subject <> object").join(block, ["block", "object"]).join(known, "object", "left").select(F.col("at").alias("seq"), "subject", "object", F.col("note").isNotNull().alias("reset"), F.coalesce("note", F.array("object")).alias("items"))
+    now = _followed(now, moves, lambda old, items, reset: F.array_sort(F.when(reset, items).otherwise(F.array_union(old, items))))
+    return dealt(own.select("row_id", "class"), now.select(F.col("row_id").alias("class"), "name", "aliases"), ["class"], F.col("row_id")).select("row_id", "name", "aliases")

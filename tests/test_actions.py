@@ -85,3 +85,28 @@ def test_query(spark, sf_dir):
     rows, log = (df.collect() for df in resolve.action_rows(spark, sf_dir))
     got = {(r.row_id, r.name, tuple(r.aliases)) for r in resolve.e3_log(spark, sf_dir).collect()}
     assert got == sequential([tuple(r) for r in rows], [tuple(r) for r in log]) and len(got) == len(rows)
+
+
+def test_chains_hand_on_each_item_once(spark):
+    from pyspark.sql import functions as F
+
+    log = [(k, "rename", "ab"[k % 2], "ba"[k % 2], 0) for k in range(300)]
+    rows = [(k, "ab"[k % 2], ["x", "a"][: k % 3]) for k in range(12)]
+    df = spark.createDataFrame(log, "seq long, action string, subject string, object string, block int")
+    got = ac.chains(df.select("seq", "subject", "object", F.lit(False).alias("reset"), F.array("subject").alias("items"))).collect()
+    assert {(r["name"], r["target"], tuple(r["items"])) for r in got} == {("a", "a", ("a", "b")), ("b", "a", ("b", "a"))}
+    out = ac.replay(spark.createDataFrame(rows, "row_id long, name string, aliases array<string>"), df).collect()
+    assert {(r.row_id, r.name, tuple(r.aliases)) for r in out} == sequential(rows, log)
+
+
+def test_equal_rows_of_one_class(spark, monkeypatch):
+    from placeweave.operators import match
+
+    monkeypatch.setattr(match, "TOGETHER", 5)  # a class of more rows is dealt
+    log = [(1, "rename", "a", "b", 0), (2, "merge_into", "b", "c", 0), (3, "define", "c", "y", 0), (4, "remove", "n", "x", 0)]
+    rows = [(k, "a", ["x"]) for k in range(40)] + [(50, None, ["x"]), (51, None, None), (52, "", []), (53, "n", ["x"]), (54, "a", ["x", "x"]), (55, "a", [])]
+    out = ac.replay(spark.createDataFrame(rows, "row_id long, name string, aliases array<string>"), spark.createDataFrame(log, "seq long, action string, subject string, object string, block int")).collect()
+    got = {r.row_id: (r.name, tuple(r.aliases)) for r in out}
+    assert len(out) == len(rows) and got[50] == (None, ("x",)) and got[51] == (None, ()) and got[52] == ("", ())
+    known = [r for r in rows if r[1] is not None]
+    assert {(i, *got[i]) for i, _, _ in known} == sequential(known, log)
