@@ -39,6 +39,24 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
     return apart.union(equal).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "shared", "total")
 
 
+def single_edits(names: DataFrame, name: str) -> DataFrame:
+    """``a, b, kind`` (a < b) of each two different names one edit apart: the kind of edit that makes b of a, a letter
+    exchanged (sub), inserted (ins) or left out (del). Names that are equal but for the letter at one place are one group, which
+    never holds more of them than there are letters; a longer name meets a shorter one by what is left without a letter. Each
+    pair is found once."""
+    n = names.select(F.col(name).alias("a")).filter("a is not null").distinct()
+    without = lambda i: F.concat(F.col("a").substr(F.lit(1), i - 1), F.col("a").substr(i + 1, F.length("a")))
+    places = F.sequence(F.lit(1), F.length("a"))
+    same = n.filter("a <> ''").select("a", F.explode(places).alias("i")).groupBy(without(F.col("i")).alias("key"), "i").agg(F.collect_list("a").alias("same")).filter("size(same) > 1")
+    sub = same.select(F.explode("same").alias("a"), "same").select("a", F.explode("same").alias("b")).filter("a < b").withColumn("kind", F.lit("sub"))
+    sizes = F.broadcast(n.select((F.length("a") + 1).alias("size")).distinct())  # as many as there are lengths
+    longer = n.withColumn("size", F.length("a")).join(sizes, "size", "left_semi").filter("a <> ''")
+    longer = longer.select(F.col("a").alias("long"), F.explode(F.array_distinct(F.transform(places, without))).alias("a"))
+    # exploded rows count as one in Spark's estimate, which would broadcast them
+    more = longer.hint("merge").join(n, "a").select(F.least("a", "long").alias("a"), F.greatest("a", "long").alias("b"), F.when(F.col("a") < F.col("long"), "ins").otherwise("del").alias("kind"))
+    return sub.select("a", "b", "kind").unionByName(more)
+
+
 def first_difference(a: Column, b: Column) -> Column:
     """Place of the first character in which two texts differ; one behind the shorter one, if it starts the other."""
     equal = F.transform(F.sequence(F.lit(1), F.least(F.length(a), F.length(b))), lambda i: a.substr(i, F.lit(1)) == b.substr(i, F.lit(1)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeweave.functions import names as nm
+from placeweave.operators import similarity as sim
 from placeweave.operators.polygons import edges
 
 from .base import LAT0, LON0, PLACES, SPAN_LAT, SPAN_LON, STORY, metres, places, query, read, sql_metres, story
@@ -65,12 +66,7 @@ def f15(spark, d):
 
 @query("f16_single_edits", "WITH n AS (SELECT DISTINCT c_name AS a FROM customer) SELECT x.a, y.a AS b, CASE WHEN length(x.a) = length(y.a) THEN 'sub' WHEN length(x.a) < length(y.a) THEN 'ins' ELSE 'del' END AS kind FROM n x, n y WHERE x.a < y.a AND levenshtein(x.a, y.a) = 1")
 def f16(spark, d):
-    # blocked: names one edit apart share a key with one character left out
-    n = read(spark, d, "customer").select(F.col("c_name").alias("a")).distinct()
-    keys = F.array_union(F.array("a"), F.transform(F.sequence(F.lit(1), F.length("a")), lambda i: F.concat(F.col("a").substr(F.lit(1), i - 1), F.col("a").substr(i + 1, F.length("a")))))
-    k = n.select("a", F.explode(F.array_distinct(keys)).alias("key"))
-    pairs = k.join(k.select(F.col("a").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
-    return pairs.withColumn("kind", nm.edit_kind(F.col("a"), F.col("b"))).filter("kind is not null")
+    return sim.single_edits(read(spark, d, "customer"), "c_name")
 
 
 @query("f17_contrast_pairs", "WITH c(x, y) AS (VALUES ('hot', 'cold'), ('red', 'blue'), ('small', 'large')), w AS (SELECT DISTINCT p_name AS n FROM part) SELECT a.n AS a, b.n AS b FROM w a, w b, c WHERE split_part(a.n, ' ', 1) = c.x AND split_part(b.n, ' ', 1) = c.y AND split_part(a.n, ' ', 2) = split_part(b.n, ' ', 2)")

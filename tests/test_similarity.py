@@ -45,3 +45,33 @@ def test_numbered_lines(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     for name, lines in texts.items():
         assert sorted((r["line_no"], r["value"]) for r in got if r["file"].endswith(name)) == list(enumerate(lines, 1))
+
+
+def _edits(p, q):
+    """Whether two texts are one edit apart."""
+    if len(p) == len(q):
+        return sum(x != y for x, y in zip(p, q)) == 1
+    p, q = sorted((p, q), key=len)
+    return len(q) == len(p) + 1 and any(q[:i] + q[i + 1 :] == p for i in range(len(q)))
+
+
+def test_single_edits(spark):
+    rng = random.Random(9)
+    names = ["".join(rng.choice("abä") for _ in range(rng.randint(0, 6))) for _ in range(300)]
+    got = [tuple(r) for r in similarity.single_edits(spark.createDataFrame([(n,) for n in [*names, None]], "name string"), "name").collect()]
+    order = sorted({*names}, key=lambda n: n.encode())
+    want = [(p, q, "sub" if len(p) == len(q) else "ins" if len(p) < len(q) else "del") for k, p in enumerate(order) for q in order[k + 1 :] if _edits(p, q)]
+    assert sorted(got) == sorted(want)
+
+
+def test_single_edits_broadcast_no_exploded_rows(spark, tmp_path):
+    from placeweave.plans.scalar import f16
+
+    spark.range(60_000).selectExpr("id c_custkey", "concat('Customer#', lpad(id, 9, '0')) c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    old = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    try:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", "64m")
+        rows = f16(spark, str(tmp_path)).count()
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", old)
+    assert rows == 60_000 * 4 * 9 // 2 + 60_000 * 5 // 2
