@@ -46,3 +46,21 @@ def test_holes(spark):
     v = spark.createDataFrame([(p, r, h, k, *xy) for p, r, h, ps in rows for k, xy in enumerate(ps)], "polygon string, ring long, hole boolean, pos int, lon double, lat double")
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 6.2, 6.2), (4, 9.0, 9.0)], "id long, lon double, lat double")
     assert {tuple(r) for r in polygons.in_polygons(points, v, 0.7, "id").collect()} == {(1, "p"), (2, "q"), (3, "p"), (3, "q")}
+
+
+@pytest.mark.parametrize("finest", [1, 32])
+def test_finer_cells_and_dealt_points(spark, monkeypatch, finest):
+    from placeweave.operators import match
+
+    rng = random.Random(7)
+    ring = star(rng, 300, 0, 0, 3)
+    monkeypatch.setattr(polygons, "FINEST", finest)
+    monkeypatch.setattr(polygons, "PASSED", 0)  # edges cost nothing: the finest cells
+    monkeypatch.setattr(polygons, "LISTED", 0)
+    monkeypatch.setattr(match, "TOGETHER", 4)  # cells of more points are dealt
+    v = spark.createDataFrame([(1, k, *p) for k, p in enumerate(ring)] + [(2, k, 10 + x, 10 + y) for k, (x, y) in enumerate([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)])], "ring long, pos int, lon double, lat double")
+    cell = polygons.fitting(polygons.edges(v), 1000, 0.8)
+    assert cell == 0.8 / finest
+    points = [(k, rng.uniform(-3, 3), rng.uniform(-3, 3)) for k in range(300)] + [(900, 0.1, 0.1)] * 25 + [(1000 + k, 12.0, 12.1) for k in range(25)]
+    got = polygons.in_rings(spark.createDataFrame(points, "id long, lon double, lat double"), v, 0.8).collect()
+    assert sorted((r["id"], r["ring"]) for r in got) == sorted([(i, 1) for i, x, y in points if inside(x, y, ring)] + [(1000 + k, 2) for k in range(25)])
