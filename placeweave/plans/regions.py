@@ -15,6 +15,8 @@ from .base import ANCHORS, PLACES, anchors, hash_point, places, query, read, sql
 
 #: Side of a cell of the cover, in degrees.
 CELL = 0.01
+#: Places of each kind that are looked up first.
+FIRST_RANKS = 480
 _TURN = 2 * math.pi
 
 # A nation's polygon: two outer rings and a hole. A customer is a vertex of one of them; a hash gives its angle (its
@@ -67,13 +69,26 @@ def e23_bounded(spark, d):
     kind by tag; the kinds take turns in a fixed order until 120 are found."""
     p = places(spark, d)
     kind = F.when(F.col("seg") == "BUILDING", "gov").when(F.col("seg") == "AUTOMOBILE", "transit").when(F.col("seg") == "FURNITURE", "mall").when(F.col("seg") == "HOUSEHOLD", "park")
-    held = pg.in_polygons(p, rings(spark, d), CELL, "place_id").select("place_id").distinct()
-    c = p.filter("score <= 9000 and name rlike '[A-Za-z]' and name rlike '[0-9]'").withColumn("kind", kind).filter("kind is not null").join(held, "place_id", "left_semi")
-    c = c.select("name", "kind", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"))
-    turn = F.row_number().over(Window.partitionBy("kind").orderBy("name", "lon", "lat"))
+    c = p.filter("score <= 9000 and name rlike '[A-Za-z]' and name rlike '[0-9]'").withColumn("kind", kind).filter("kind is not null")
+    c = kept(c.select("place_id", "name", "kind", F.round("lon", 4).alias("lon4"), F.round("lat", 4).alias("lat4"), "lon", "lat"), "wanted")
+    sides = kept(pg.edges(rings(spark, d)), "sides")
+    of = kept(rings(spark, d).select("ring", "polygon", "hole").distinct(), "rings")
+    turn = Window.partitionBy("kind").orderBy("name", "lon4", "lat4")
     at = F.array_position(F.array(F.lit("mall"), F.lit("gov"), F.lit("park"), F.lit("transit")), F.col("kind"))
-    # no more than 120 of a kind can be taken, so its ranking stops there
-    return c.withColumn("rn", turn).filter("rn <= 120").orderBy("rn", at).limit(120).select("name", "kind", "lon", "lat")
+    ranks = FIRST_RANKS
+    while True:
+        # the first ones of each kind are looked up; more of them where a kind has more and too few of the first lie inside
+        first = kept(c.withColumn("rank", F.row_number().over(turn)).filter(F.col("rank") <= ranks), "first")
+        held = pg.held_by_polygons(first, sides, of, CELL, "place_id").select("place_id").distinct()
+        inside = kept(first.join(held, "place_id", "left_semi"), "inside")
+        seen, found = (df.groupBy("kind").agg(F.count("*").alias("n")) for df in (first, inside))
+        short = seen.withColumnRenamed("n", "seen").join(found, "kind", "left").filter((F.col("seen") >= ranks) & (F.coalesce("n", F.lit(0)) < 120))
+        if not short.limit(1).count():
+            break
+        ranks *= 8
+    out = inside.select("name", "kind", F.col("lon4").alias("lon"), F.col("lat4").alias("lat"), F.row_number().over(Window.partitionBy("kind").orderBy("rank")).alias("rn"))
+    # no more than 120 of a kind can be taken
+    return out.filter("rn <= 120").orderBy("rn", at).limit(120).select("name", "kind", "lon", "lat")
 
 
 _BOX = "max(greatest(x1, x2)) >= 114.05 AND min(least(x1, x2)) <= 114.25 AND max(greatest(y1, y2)) >= 22.28 AND min(least(y1, y2)) <= 22.44"

@@ -64,3 +64,12 @@ def test_finer_cells_and_dealt_points(spark, monkeypatch, finest):
     points = [(k, rng.uniform(-3, 3), rng.uniform(-3, 3)) for k in range(300)] + [(900, 0.1, 0.1)] * 25 + [(1000 + k, 12.0, 12.1) for k in range(25)]
     got = polygons.in_rings(spark.createDataFrame(points, "id long, lon double, lat double"), v, 0.8).collect()
     assert sorted((r["id"], r["ring"]) for r in got) == sorted([(i, 1) for i, x, y in points if inside(x, y, ring)] + [(1000 + k, 2) for k in range(25)])
+
+
+def test_top_up_in_rounds(spark, sf_dir, monkeypatch):
+    from placeweave.plans import regions
+
+    want = regions.e23_bounded(spark, sf_dir).collect()
+    monkeypatch.setattr(regions, "FIRST_RANKS", 1)
+    got = regions.e23_bounded(spark, sf_dir).collect()
+    assert got == want and got
