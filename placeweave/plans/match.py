@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeweave.operators import match as mt
+from placeweave.operators import together as tg
 
 from .base import ANCHORS, PLACES, STORY, anchors, metres, places, query, read, sql_metres, story
 
@@ -84,8 +85,9 @@ def j8(spark, d):
 
 @query("j9_co_occurrence", f"WITH c AS (SELECT DISTINCT chapter, k, person FROM {STORY} s) SELECT a.person AS a, b.person AS b, count(*) AS shared FROM c a JOIN c b USING (chapter, k) WHERE a.person <> b.person GROUP BY 1, 2")
 def j9(spark, d):
-    c = story(spark, d).select("chapter", "k", "person").distinct()  # a scene: a day and an attribute
-    return c.withColumnRenamed("person", "a").join(c.withColumnRenamed("person", "b"), ["chapter", "k"]).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    # a scene: a day and an attribute
+    scene = F.shiftleft(F.col("chapter").cast("long"), 32).bitwiseOR(F.col("k").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return tg.shared_groups(story(spark, d).select(scene.alias("grp"), F.col("person").alias("member")))
 
 
 @query("j10_containment_parent", f"WITH n AS (SELECT name FROM {NAMES} q), h AS (SELECT DISTINCT split_part(name, ' ', 1) AS parent FROM {NAMES} q) SELECT name, parent FROM n JOIN h ON contains(name, parent) AND length(parent) >= 3 QUALIFY row_number() OVER (PARTITION BY name ORDER BY length(parent) DESC, parent) = 1")
