@@ -50,7 +50,9 @@ def e21_clusters(spark, d):
     # an id that orders a stem's points by place
     m = kept(m.withColumn("id", F.round((F.col("lon") + 180) * 1e6).cast("long") * 200_000_000 + F.round((F.col("lat") + 90) * 1e6).cast("long")), "members")
     out = sp.largest_balls(m, "stem", 1000, metres, SCALE)
-    return out.filter("lon between 113.9 and 114.4 and lat between 22.2 and 22.5").select("stem", "n", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    # means of rounded places often end in half a unit: they are rounded as SQL rounds them, by the product
+    rounded = lambda c: (F.round(F.col(c) * 1e6) / 1e6).alias(c)
+    return out.filter("lon between 113.9 and 114.4 and lat between 22.2 and 22.5").select("stem", "n", rounded("lon"), rounded("lat"))
 
 
 _LABELS = "(SELECT min(p_partkey) AS id, p_name || ' ' || p_brand AS name FROM part GROUP BY 2)"
